@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from .common import SKETCH_BITS, Scratch, Sketch, connected_components, id_filter, may_hold, merged_sketch, shingles, shuffle_partitions, signature, slices, text_buffers, words
 
 #: Sets that share a prefix n-gram are paired one by one up to this many, beyond it in blocks.
-HOT = 48
+HOT = 128
 #: N-grams of one block of a hot group (8 MB), and the fragments of the order that verification sums over.
 BLOCK, FRAGMENTS = 1 << 20, 8
+#: N-grams that a task looks through at once for repeats; the others are rare enough to stay out of the sketch.
+RUN = 8 << 20
+FOUND = ["a", "b", "hot", "na", "nb", "k"]
 
 
 def need(na, nb, pct: int):
@@ -48,8 +51,14 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int, keep: np.ndarray | None = N
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """id, set size and signature of each document; after them this task's counts as blocks."""
+    """id, set size and signature of each document; after them this task's counts, of n-grams that repeat within a run of sets, as blocks."""
     sketch, out, most = Sketch(), [], 20_000
+    run, held = [], 0
+
+    def repeated():
+        x, c = np.unique(np.concatenate(run), return_counts=True)
+        sketch.add(np.repeat(x[c > 1], c[c > 1]))
+
 
     def batch(rows, blocks=()):
         k, m = len(rows), len(blocks)
@@ -58,16 +67,23 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 
     for i, s in _rows(batches, n):
         out.append((i, len(s), *signature(s)))
-        sketch.add(s)
+        run.append(s)
+        held += len(s)
+        if held >= RUN:
+            repeated()
+            run, held = [], 0
         if len(out) >= most:
             yield batch(out)
             out = []
+    if run:
+        repeated()
     yield batch(out, sketch.blocks())
 
 
 def order_classes(counts: np.ndarray) -> np.ndarray:
     """A class per sketch slot: 0 for n-grams no commoner than the noise of the sketch allows to tell, then by powers of two."""
-    rare = max(HOT, 4 * float(counts.mean()))
+    mean = float(counts.mean())
+    rare = 16 + mean + 6 * mean**0.5
     return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / rare)), 0, 15).astype(np.uint8)
 
 
@@ -82,18 +98,18 @@ def _pack(a: np.ndarray, *more: np.ndarray) -> bytes:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, pct: int, classes, parts: int) -> Iterator[pa.RecordBatch]:
-    """Prefix n-grams, dealt by n-gram: one row per part with packed (n-gram, class of sets, size, place)."""
-    keys, ids, sizes, places, seen, held = [], [], [], [], set(), 0
+    """Prefix n-grams, dealt by n-gram: one row per part with packed (n-gram, class of sets, size)."""
+    keys, ids, sizes, seen, held = [], [], [], set(), 0
     classes = classes.value
 
     def flush():
-        k, i, m, p = (np.concatenate(x) for x in (keys, ids, sizes, places))
+        k, i, m = (np.concatenate(x) for x in (keys, ids, sizes))
         part = ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
         o = np.argsort(part, kind="stable")
-        k, i, m, p, part = k[o], i[o], m[o], p[o], part[o]
+        k, i, m, part = k[o], i[o], m[o], part[o]
         cut = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
         ends = np.append(cut[1:], len(part))
-        return pa.RecordBatch.from_pydict({"part": pa.array(part[cut].astype(np.int32)), "k": pa.array((ends - cut).astype(np.int32)), "z": pa.array([_pack(k[a:b], i[a:b], m[a:b], p[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())})
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[cut].astype(np.int32)), "k": pa.array((ends - cut).astype(np.int32)), "z": pa.array([_pack(k[a:b], i[a:b], m[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
     for _, s in _rows(batches, n):
         if not len(s):
@@ -108,39 +124,39 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, pct: int, classes, part
         keys.append(o[:m])
         ids.append(np.full(m, sig, np.int64))
         sizes.append(np.full(m, len(o), np.int32))
-        places.append(np.arange(m, dtype=np.int32))
         held += m
         if held > 2_000_000:
             yield flush()
-            keys, ids, sizes, places, held = [], [], [], [], 0
+            keys, ids, sizes, held = [], [], [], 0
     if held:
         yield flush()
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], pct: int, limit: int) -> Iterator[pa.RecordBatch]:
     """All entries of some parts: pairs from small buckets; (member, least member) and hot = true from large ones."""
-    ks, cs, ns, ps = [], [], [], []
+    ks, cs, ns = [], [], []
     for b in batches:
         for k, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             ks.append(np.frombuffer(z, np.uint64, k))
             cs.append(np.frombuffer(z, np.int64, k, 8 * k))
             ns.append(np.frombuffer(z, np.int32, k, 16 * k))
-            ps.append(np.frombuffer(z, np.int32, k, 20 * k))
     if not ks:
         return
-    k, c, n, p = (np.concatenate(x) for x in (ks, cs, ns, ps))
-    ks = cs = ns = ps = None
+    k, c, n = (np.concatenate(x) for x in (ks, cs, ns))
+    ks = cs = ns = None
     o = np.lexsort((c, k))
-    k, c, n, p = k[o], c[o], n[o].astype(np.int64), p[o].astype(np.int64)
+    k, c, n = k[o], c[o], n[o].astype(np.int64)
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    k, c, n, p = k[new], c[new], n[new], p[new]
+    k, c, n = k[new], c[new], n[new]
     start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     size = np.diff(np.append(start, len(k)))
 
-    def batch(a, b, hot):
-        pairs = np.unique(np.stack([a, b]), axis=1)
-        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "hot": pa.array(np.full(pairs.shape[1], hot))})
+    def batch(x, y):
+        """Per pair of classes: sizes and the prefix n-grams of these parts that they share."""
+        pairs, at, inv = np.unique(np.stack([c[x], c[y]]), axis=1, return_index=True, return_inverse=True)
+        inv, m = inv.ravel(), pairs.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (pairs[0], pairs[1], np.zeros(m, bool), n[x][at], n[y][at], np.bincount(inv, minlength=m))], names=FOUND)
 
     found, held = [], 0
     for g in range(2, limit + 1):
@@ -150,20 +166,21 @@ def _candidates(batches: Iterator[pa.RecordBatch], pct: int, limit: int) -> Iter
         i, j = np.triu_indices(g, 1)
         for lo in range(0, len(at), step := max(1, 4_000_000 // len(i))):
             x, y = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
-            least = need(n[x], n[y], pct)
-            ok = (np.minimum(n[x], n[y]) >= least) & (np.minimum(p[x], p[y]) + np.minimum(n[x] - p[x], n[y] - p[y]) >= least)
+            ok = np.minimum(n[x], n[y]) * 100 >= pct * np.maximum(n[x], n[y])
             if ok.any():
-                found.append(np.stack([c[x[ok]], c[y[ok]]]))
+                found.append(np.stack([x[ok], y[ok]]))
                 held += int(ok.sum())
             if held > 2_000_000:
-                yield batch(*np.concatenate(found, 1), False)
+                yield batch(*np.concatenate(found, 1))
                 found, held = [], 0
     if found:
-        yield batch(*np.concatenate(found, 1), False)
+        yield batch(*np.concatenate(found, 1))
     big = np.flatnonzero(size > limit)
     if len(big):
         x = np.concatenate([np.arange(start[g], start[g] + size[g]) for g in big])
-        yield batch(np.repeat(c[start[big]], size[big]), c[x], True)
+        pairs = np.unique(np.stack([np.repeat(c[start[big]], size[big]), c[x]]), axis=1)
+        zero = pa.array(np.zeros(pairs.shape[1], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.ones(pairs.shape[1], bool)), *[zero] * 3], names=FOUND)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], n: int, classes, keep) -> Iterator[pa.RecordBatch]:
@@ -275,16 +292,21 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reps = scratch.table(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "reps")
 
     dealt = src.mapInArrow(partial(_prefixes, n=n, pct=similarity_pct, classes=classes, parts=4 * parts), "part int, k int, z binary")
-    found = dealt.repartition(4 * parts, "part").mapInArrow(partial(_candidates, pct=similarity_pct, limit=hot_bucket), "a long, b long, hot boolean")
-    found = scratch.table(found.groupBy("a", "b").agg(F.min("hot").alias("hot"), F.max("hot").alias("any_hot")), "found")
+    found = dealt.repartition(4 * parts, "part").mapInArrow(partial(_candidates, pct=similarity_pct, limit=hot_bucket), "a long, b long, hot boolean, na long, nb long, k long")
+    # The prefix that ends first in the order holds all that the two share up to its end: k n-grams; beyond it the
+    # other's or its own rest, n - prefix, is the most. N-grams of hot buckets are missing from k, but pairs that share
+    # one are compared in their group.
+    found = found.groupBy("a", "b", "hot").agg(F.sum("k").alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    pct = similarity_pct
+    found = scratch.table(found.where(f"hot or k + ({pct} * greatest(na, nb) + 99) div 100 - 1 >= ({pct} * (na + nb) + {99 + pct}) div {100 + pct}").select("a", "b", "hot"), "found")
 
     ra, rb = (reps.select(F.col("h1").alias(f"h_{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}")) for s in "xy")
-    mapped = scratch.table(found.join(ra, found.a == ra.h_x).join(rb, found.b == rb.h_y).where("x <> y or any_hot").select("x", "y", "nx", "ny", "h_x", "h_y", "hot", "any_hot"), "mapped")
+    mapped = scratch.table(found.join(ra, found.a == ra.h_x).join(rb, found.b == rb.h_y).select("x", "y", "nx", "ny", "h_x", "h_y", "hot"), "mapped")
     pairs = mapped.where("not hot and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, nx, ny)").alias("na"), F.expr("if(x < y, ny, nx)").alias("nb"), F.expr("if(x < y, h_x, h_y)").alias("ha"), F.expr("if(x < y, h_y, h_x)").alias("hb"))
-    star = mapped.where("any_hot").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    star = mapped.where("hot").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     # hot groups: components over the large buckets, each cut into blocks by a hash of the id
-    sizes = mapped.where("any_hot").selectExpr("stack(2, x, nx, h_x, y, ny, h_y) as (id, n, sig)").distinct()
+    sizes = mapped.where("hot").selectExpr("stack(2, x, nx, h_x, y, ny, h_y) as (id, n, sig)").distinct()
     groups = connected_components(star, scratch).withColumnsRenamed({"node": "id", "component": "grp"})
     members = scratch.table(groups.join(sizes, "id"), "members")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .html_text import op4_html_extraction
 from .ngram_join import op1_ngram_jaccard
+from .token_files import op5_token_files
+from .url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "pipeline": corpus_pipeline.run}
+    found = [op1_ngram_jaccard, op4_html_extraction, op5_token_files, op8_url_filter]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
-    return {}
+    return {"op8_url_filter": OP8_SQL}

@@ -199,19 +199,20 @@ def near_pairs(prints: DataFrame, texts: DataFrame, most: float = 0.1, bands: in
 
     Banding: each band takes ``digits`` fixed digits of the fingerprint among those that texts of the shorter length
     reach (bit sampling). A bucket links its members to its least one and to their neighbours in order of the fingerprint,
-    never all to all; equal fingerprints are one member. levenshtein() verifies. High recall, not exact. Texts too short for a band's digits are banded by their whole
+    never all to all; equal texts are one member. levenshtein() verifies. High recall, not exact. Texts too short for a band's digits are banded by their whole
     fingerprint; empty texts link with nothing.
     """
     from pyspark.sql import Window as W
 
     rng = np.random.default_rng(17)
-    one = prints.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min(id_col).alias("id"))
+    same = texts.select(id_col, F.xxhash64(text_col).alias("same"))
+    one = prints.where("fingerprint <> ''").select(id_col, "fingerprint").join(same, id_col).groupBy("fingerprint", "same").agg(F.min(id_col).alias("id"))
     keys = []
     for j in range(bands):
         at = sorted((rng.choice(SAMPLES, digits, replace=False) + 1).tolist())
         keys.append(F.when(F.length("fingerprint") > SAMPLES, F.concat(F.lit(f"{j}:"), *[F.substring("fingerprint", p, 1) for p in at])).otherwise(F.concat(F.lit(f"{j}="), F.col("fingerprint"))))
     rows = one.select("id", "fingerprint", F.explode(F.array(*keys)).alias("key"))
-    w = W.partitionBy("key").orderBy("fingerprint")
+    w = W.partitionBy("key").orderBy("fingerprint", "id")
     linked = rows.select("id", F.lag("id").over(w).alias("before"), F.first("id").over(w).alias("first"))
     pairs = linked.select("id", F.explode(F.array("before", "first")).alias("o")).where("o is not null and o <> id").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
     ta, tb = (texts.select(F.col(id_col).alias(c), F.col(text_col).alias(f"t{c}")) for c in "ab")

@@ -147,7 +147,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
         rows = rows.where(F.col("doc_id") >= first)
     if last is not None:
         rows = rows.where(F.col("doc_id") <= last)
-    return rows.join(before, rows.part == before.p).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "tokens")
+    return rows.join(F.broadcast(before), rows.part == before.p).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "tokens")
 
 
 def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,8 +64,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _CHAR[:, _SPACE] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_KIND = np.zeros(256, np.uint8)
-_KIND[33:127], _KIND[97:123], _KIND[39] = 2, 1, 0
+#: Cuts between an ASCII letter and an ASCII digit or sign other than the apostrophe; between letters (any beyond ASCII) and ASCII signs.
+ASCII_SIGNS, SIGNS = np.zeros(256, np.uint8), np.ones(256, np.uint8)
+ASCII_SIGNS[33:127], ASCII_SIGNS[97:123], ASCII_SIGNS[39] = 2, 1, 0
+SIGNS[33:127], SIGNS[48:58], SIGNS[97:123] = 2, 1, 1
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SLICE_BYTES = 4 << 20
 
@@ -100,10 +102,10 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each word [^\\x20\\x09-\\x0D]+ (A-Z lower-cased), and the index of each row's first word (n+1).
 
-    cut: words are also cut between an ASCII letter and an ASCII digit or sign other than the apostrophe.
+    cut: a kind for each byte; words are also cut between bytes of kinds 1 and 2.
     """
     if not len(raw):
         z = np.zeros(0, np.int64)
@@ -112,8 +114,8 @@ def words(raw: np.ndarray, offsets: np.ndarray, cut: bool = False) -> tuple[np.n
     solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    if cut:
-        kind = _KIND[data]
+    if cut is not None:
+        kind = cut[data]
         edge[1:-1] |= kind[1:] * kind[:-1] == 2
     before = np.empty(len(data), bool)
     before[0] = True

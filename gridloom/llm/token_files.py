@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, slices, text_buffers, words
+from .common import ASCII_SIGNS, Scratch, shuffle_partitions, slices, text_buffers, words
 
 END_ID = 2
 MARK = "<|startoftext|>"  # a special token of the vocabulary: it separates the pieces that are encoded together
@@ -64,7 +64,7 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each row's followed by end_id, and the n+1 offsets of the rows."""
-        h, first, end, rows = words(raw, off, cut=True)
+        h, first, end, rows = words(raw, off, ASCII_SIGNS)
         data = raw.tobytes()
         if len(h):
             o = np.argsort(h)

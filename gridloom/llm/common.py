@@ -222,6 +222,42 @@ def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
+#: Bits of a filter of hashes: 8 MB, whatever the input.
+FILTER_BITS = 26
+
+
+def _filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for b in batches:
+        bits[(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    rows = [(i, zlib.compress(np.packbits(x).tobytes(), 1)) for i, x in enumerate(bits.reshape(SKETCH_BLOCKS, -1)) if x.any()]
+    if rows:
+        yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in rows], pa.int32()), "z": pa.array([z for _, z in rows], pa.binary())})
+
+
+def _or_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(z), np.uint8)
+            total[i] = total[i] | x if i in total else x
+    for i, x in total.items():
+        yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "z": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """Packed bits of a one-hash Bloom filter of a long column of hashes: fixed size, false hits possible, no misses."""
+    out = np.zeros((SKETCH_BLOCKS, (1 << FILTER_BITS) // SKETCH_BLOCKS // 8), np.uint8)
+    for i, z in hashes.mapInArrow(_filter_blocks, "block int, z binary").repartition(SKETCH_BLOCKS, "block").mapInArrow(_or_blocks, "block int, z binary").collect():
+        out[i] = np.frombuffer(zlib.decompress(z), np.uint8)
+    return out.ravel()
+
+
+def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -25,6 +25,8 @@ K1, B = 1.2, 0.75
 PASSAGE, STRIDE, ALPHA = 64, 32, 0.5
 #: Items of one index, and items of one block of a posting list.
 ITEMS, BLOCK = 20_000, 16
+#: Cells of an index kept as a matrix (160 MB); larger ones use the posting lists.
+DENSE = 20_000_000
 #: Least share of the question's and of the answer's word runs.
 QUESTION, ANSWER, RUN = 0.6, 0.5, 5
 _SIGN_START = np.zeros(256, bool)
@@ -97,6 +99,11 @@ class Index:
         blocks = n // BLOCK + 1
         self.block_least = np.full(blocks, np.inf)
         np.minimum.at(self.block_least, np.arange(n) // BLOCK, self.least)
+        self.dense = None
+        if (v + 1) * n <= DENSE:  # small indexes are also kept as matrices, words by blocks and by items
+            self.dense = np.zeros((v + 1, blocks), np.float32), np.zeros((v + 1, n))
+            self.dense[1][self.term, self.item] = self.impact
+            self.dense[0][key // blocks, self.block_of] = self.block_best
         bits = 16
         self.shift = np.uint64(64 - bits)
         slot = (self.vocab >> self.shift).astype(np.int64)
@@ -148,31 +155,63 @@ class Index:
                     out.append((lo + x, float(score[x])))
         return out
 
-    def leaks(self, h: np.ndarray) -> dict[int, tuple[float, float, float]]:
-        """Item number -> (best score, question share, answer share) of a document's word hashes."""
-        n = len(h)
-        if not n or not len(self.ids) or not self.deep:
-            return {}
-        term = self.lookup(h)
-        known = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, self.best[np.maximum(term, 0)], 0.0))])
-        start = np.arange(0, max(1, n - PASSAGE + STRIDE), STRIDE)
-        start = np.unique(np.minimum(start, max(0, n - PASSAGE)))
-        end = np.minimum(start + PASSAGE, n)
-        found: dict[int, tuple[float, float, float]] = {}
-        for a, e in zip(*(x[known[end] - known[start] >= self.least.min()].tolist() for x in (start, end)), strict=True):
-            t = np.unique(term[a:e])
-            t = t[t >= 0]
-            if self.best[t].sum() < self.least.min():
-                continue
-            for item, score in self.retrieve(t):
-                if item in found and found[item][0] >= score:
-                    continue
-                around = h[max(0, a - int(self.length[item])) : e + int(self.length[item])]
-                share = [float(np.isin(r, runs(around, k), assume_unique=True).mean()) if len(r) else 1.0 for k, r in self.runs[item]]
+    def score_passages(self, terms: np.ndarray) -> list[tuple[int, int, float]]:
+        """(row, item number, score) of the rows of word numbers (-1: none) whose score reaches the item's least.
+
+        The same pruning as in retrieve(), for many passages at once: all lists' best impacts, then the bounds of the
+        blocks, then the scores of the items of the blocks that are left.
+        """
+        t = np.sort(np.where(terms < 0, len(self.vocab), terms), axis=1)
+        t[:, 1:][t[:, 1:] == t[:, :-1]] = len(self.vocab)
+        rows = np.flatnonzero(np.append(self.best, 0.0)[t].sum(1) >= self.least.min())
+        if not len(rows):
+            return []
+        t = t[rows]
+        if self.dense is None:
+            return [(int(r), k, x) for r, words_ in zip(rows, t, strict=True) for k, x in self.retrieve(words_[words_ < len(self.vocab)])]
+        blocks, impact = self.dense
+        out = []
+        for lo in range(0, len(rows), 2048):
+            some = t[lo : lo + 2048]
+            bound = np.zeros((len(some), blocks.shape[1]), np.float32)
+            for j in range(t.shape[1]):
+                bound += blocks[some[:, j]]
+            hit = bound >= self.block_least.astype(np.float32) * np.float32(1 - 1e-5)
+            for blk in np.flatnonzero(hit.any(0)).tolist():
+                at = np.flatnonzero(hit[:, blk])
+                a, e = blk * BLOCK, min((blk + 1) * BLOCK, len(self.ids))
+                score = np.zeros((len(at), e - a))
+                part = impact[:, a:e]
+                for j in range(t.shape[1]):
+                    score += part[some[at, j]]
+                for x, k in zip(*np.nonzero(score >= self.least[a:e]), strict=True):
+                    out.append((int(rows[lo + at[x]]), a + int(k), float(score[x, k])))
+        return out
+
+    def leaks(self, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """(row, item number, best score, question share, answer share) for rows of word hashes (n+1 indexes of first words)."""
+        if not len(h) or not len(self.ids) or not self.deep:
+            return []
+        term = np.append(self.lookup(h), -1)
+        first, last = rows[:-1], rows[1:]
+        size = last - first
+        per = np.where(size > 0, 1 + np.maximum(0, -(-(size - PASSAGE) // STRIDE)), 0)
+        doc = np.repeat(np.arange(len(size)), per)
+        no = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        start = first[doc] + np.minimum(no * STRIDE, np.maximum(0, size[doc] - PASSAGE))
+        end = np.minimum(start + PASSAGE, last[doc])
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for lo in range(0, len(doc), 16_384):
+            at = start[lo : lo + 16_384, None] + np.arange(PASSAGE)
+            at[at >= end[lo : lo + 16_384, None]] = len(h)
+            for p, item, score in self.score_passages(term[at]):
+                d, n = int(doc[lo + p]), int(self.length[item])
+                a, e = max(int(first[d]), int(start[lo + p]) - n), min(int(last[d]), int(end[lo + p]) + n)
+                share = [float(np.isin(r, runs(h[a:e], k), assume_unique=True).mean()) if len(r) else 1.0 for k, r in self.runs[item]]
                 if share[0] >= QUESTION and share[1] >= ANSWER:
-                    old = found.get(item, (0.0, 0.0, 0.0))
-                    found[item] = (score, max(share[0], old[1]), max(share[1], old[2]))
-        return found
+                    old = best.get((d, item), (0.0, 0.0, 0.0))
+                    best[d, item] = tuple(max(x) for x in zip(old, (score, *share), strict=True))
+        return [(d, item, *v) for (d, item), v in best.items()]
 
 
 def _search(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
@@ -183,8 +222,7 @@ def _search(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch
         out = []
         for i, j in slices(off):
             h, rows = tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            for x, a, e in zip(ids[i:j], rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-                out += [(x, ix.ids[k], *v) for k, v in ix.leaks(h[a:e]).items()]
+            out += [(ids[i + d], ix.ids[k], *v) for d, k, *v in ix.leaks(h, rows)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "score", "question_share", "answer_share"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, Scratch, Sketch, _STEP, merged_sketch, mix, signature, slices, text_buffers, words
+from .common import _STEP, Scratch, hash_filter, in_filter, mix, signature, slices, text_buffers, words
 
 #: A repeat has this many words at least; K + WINDOW - 1 is one less at most, so that every repeat holds a minimiser.
 MIN_WORDS, K = 50, 16
@@ -111,14 +111,6 @@ def _anchors(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[
     yield flush()
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    s = Sketch()
-    for b in batches:
-        s.add(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    if blocks := s.blocks():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in blocks], pa.int32()), "z": pa.array([z for _, z in blocks], pa.binary())})
-
-
 def _passages(batches: Iterator[pa.RecordBatch], least: int, k: int, shared) -> Iterator[pa.RecordBatch]:
     """Passages of ``least`` words around suffixes whose gram may be shared: hash, class, first word."""
     bits = shared.value
@@ -132,8 +124,7 @@ def _passages(batches: Iterator[pa.RecordBatch], least: int, k: int, shared) ->
         if len(h) < least:
             continue
         g, _ = minimisers(h, least, k)
-        slot = (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-        start = np.flatnonzero((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+        start = np.flatnonzero(in_filter(bits, g))
         if not len(start):
             continue
         c = _class(h)
@@ -166,8 +157,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_c
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     both = scratch.table(src.mapInArrow(partial(_anchors, least=min_words, k=k), "doc_id long, n long, cls long, key long"), "anchors")
     shared = both.where("key is not null").groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
-    bits = np.packbits(merged_sketch(shared.mapInArrow(_slots, "block int, z binary")) > 0)
-    held = spark.sparkContext.broadcast(bits)
+    held = spark.sparkContext.broadcast(hash_filter(shared))
     rows = scratch.table(src.mapInArrow(partial(_passages, least=min_words, k=k, shared=held), "h long, cls long, start int"), "passages")
     twice = rows.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h")
     hits = rows.join(twice, "h").select("cls", "start").distinct()

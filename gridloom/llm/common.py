@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -50,6 +51,11 @@ class Scratch:
                 path = jvm.org.apache.hadoop.fs.Path(p)
                 path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of steps whose results are written: Spark's cleaner takes them once nothing refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

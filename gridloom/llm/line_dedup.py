@@ -5,8 +5,9 @@ class PERMUTATIONS minima of the shingle hashes under fixed exclusive-or masks m
 are candidates, verified by their exact Jaccard similarity; distributed union-find makes components, and one line
 of each stays: the first in order of document id and line number.
 
-The shuffle by line hash that finds equal lines also serves the signatures: shingles are generated, hashed and reduced in
-the same task. A large bucket isn't expanded to pairs: its lines are linked to its least line and to their neighbours in the
+Shingles are generated, hashed and reduced to the minima where the lines are read, grouped by the line's hash: one shuffle of
+a few numbers a line finds equal lines and completes signatures. Texts of candidates are picked out by a blocked Bloom
+filter of fixed size on the line's hash. A large bucket isn't expanded to pairs: its lines are linked to its least line and to their neighbours in the
 order of another minimum, in every band they share.
 """
 
@@ -18,16 +19,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
+from .url_filter import bloom_blocks, passing
 
 SHINGLE, SIMILARITY_PCT = 8, 80
-BANDS, ROWS = 6, 3
+BANDS, ROWS = 5, 3
 #: Lines shorter than this (after trimming) are left alone: they carry too little to tell a copy.
 MIN_CHARS = 24
+#: The filter of candidates has 2**FILTER_BITS blocks of 72 bytes at most (4.7 MB).
+FILTER_BITS = 16
 
 
 def normal(line):
-    """The compared form of a line: lower case, white space to single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    """The compared form of a line: without spaces at its ends."""
+    return F.trim(line)
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,75 +41,86 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _masks(n: int) -> list[int]:
-    return np.random.default_rng(31).integers(-(2**63), 2**63 - 1, n).tolist()
+    """Masks of 62 bits: the least of h ^ mask (signed) is then among the hashes that begin with the bits 10, if the line
+    has one. The others need not be looked at, but for the first, which keeps lines without such a hash."""
+    return np.random.default_rng(31).integers(0, 2**62, n).tolist()
 
 
 def shingle_hashes(classes: DataFrame, keep: list[str], k: int = SHINGLE) -> DataFrame:
-    """A row per shingle: the kept columns and its hash h. Characters are UTF-16 units of 2 bytes, so a shingle is a slice of the line's bytes."""
+    """A row per shingle: the kept columns, its place and its hash h. Characters are UTF-16 units of 2 bytes, so a shingle is a slice of the line's bytes."""
     wide = classes.select(*keep, F.encode("norm", "UTF-16BE").alias("wide"))
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length("wide") / 2).cast("int") - k)))
-    return wide.select(*keep, "wide", at.alias("at")).select(*keep, F.xxhash64(F.expr(f"substring(wide, 2 * at + 1, {2 * k})")).alias("h"))
+    return wide.select(*keep, "wide", at.alias("at")).select(*keep, "at", F.xxhash64(F.expr(f"substring(wide, 2 * at + 1, {2 * k})")).alias("h"))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, similarity_pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """Classes of equal lines that have a copy or a near copy: h1, h2 (hash of the normal form), n_lines, doc_id and line_no
-    (its first line), component (hash of the class whose line stays), keep_doc, keep_line (that line).
-
-    Null and empty texts have no lines, rows without an id take no part, short lines are never duplicates; rows that
-    repeat an id are one document's lines numbered alike; of ties the smaller id and line number stays. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "lines")
+def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     lines = split_lines(docs, id_col, text_col).select("doc_id", "line_no", normal("line").alias("norm")).where(F.length("norm") >= min_chars)
-    keyed = lines.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"))
-    distinct = keyed.groupBy("h1").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n_lines"), F.min("norm").alias("norm"))
-    # grouping by h1 again needs no shuffle
-    shingles = shingle_hashes(distinct.select("h1", "norm", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n_lines"), ["h1", "doc_id", "line_no", "n_lines"])
-    masks = _masks(bands * rows + 1)
+    return lines.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"))
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, similarity_pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Lines that have a copy or a near copy: doc_id, line_no, component (least hash of the lines reachable by links). A
+    table in the shared folder."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    keyed = _hashed(docs, id_col, text_col, min_chars)
+    shingles = shingle_hashes(keyed, ["h1"]).where("at = 0 or shiftrightunsigned(h, 62) = 2")
+    masks = _masks(bands * rows)
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)]
-    signed = shingles.groupBy("h1").agg(F.first("doc_id").alias("doc_id"), F.first("line_no").alias("line_no"), F.first("n_lines").alias("n_lines"), *minima)
-    band = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    signed = scratch.table(signed.select("h1", "doc_id", "line_no", "n_lines", F.col(f"m{bands * rows}").alias("tie"), *[x.alias(f"b{j}") for j, x in enumerate(band)]), "signed")
+    signed = shingles.groupBy("h1").agg(F.sum(F.expr("if(at = 0, 1L, 0L)")).alias("n_lines"), *minima)
+    band = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + x}") for x in range(rows)]) for b in range(bands)]
+    signed = scratch.table(signed.select("h1", "n_lines", F.col("m0").alias("tie"), *[x.alias(f"b{j}") for j, x in enumerate(band)]), "signed")
 
     keys = signed.select("h1", "tie", F.explode(F.array(*[f"b{j}" for j in range(bands)])).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("n > 1")
     shared = scratch.table(shared, "buckets")
     two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = keys.join(shared.where("n > 2").select("key", "lo"), "key")
+    large = shared.where("n > 2").select("key", "lo")
+    more = passing(keys, "key", bloom_blocks(large, "key", FILTER_BITS), FILTER_BITS).join(large, "key")
     w = W.partitionBy("key", "part").orderBy("tie", "h1")
     more = more.withColumn("part", F.pmod(F.shiftright("tie", 20), F.lit(16)))
     near = more.select("h1", "lo", F.lag("h1").over(w).alias("before"))
     linked = near.select("h1", F.explode(F.array("lo", "before")).alias("o")).where("o is not null and o <> h1").select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b"))
     pairs = scratch.table(two.unionByName(linked).distinct(), "pairs")
 
-    # exact verification: the candidates' shingle sets meet by their hashes
+    scratch.release()
+    # the lines of candidates and of classes of several lines, the others as they slip through the filter
     wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    place = signed.join(wanted, "h1").select("h1", "doc_id", "line_no")
-    texts = split_lines(docs, id_col, text_col).join(place, ["doc_id", "line_no"]).select("h1", normal("line").alias("norm"))
-    sets = shingle_hashes(texts, ["h1"]).groupBy("h1").agg(F.collect_set("h").alias("grams"))
-    sets = scratch.table(sets, "sets")
-    both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("h1").alias("b"), F.col("grams").alias("gb")), "b")
-    both = both.select("a", "b", (F.size("ga") + F.size("gb")).cast("long").alias("n"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"))
+    kept = bloom_blocks(wanted.union(signed.where("n_lines > 1").select("h1")), "h1", FILTER_BITS)
+    picked = scratch.table(passing(keyed, "h1", kept, FILTER_BITS), "picked")
+
+    # exact verification on the candidates' texts
+    texts = picked.select("h1", "norm").join(wanted, "h1").groupBy("h1").agg(F.first("norm").alias("norm"))
+    texts = scratch.table(texts, "texts")
+    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
+    both = both.select("a", "b", _set("ta").alias("ga"), _set("tb").alias("gb")).select("a", "b", (F.size("ga") + F.size("gb")).cast("long").alias("n"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"))
+    both = scratch.table(both, "compared")  # a filter on what is computed here would compute it again for each use
     links = scratch.table(both.where(f"100 * shared >= {similarity_pct} * (n - shared)").select("a", "b"), "links")
 
-    comp = connected_components(links, scratch).withColumnsRenamed({"node": "h1", "component": "c"})
-    known = signed.select("h1", "doc_id", "line_no", "n_lines")
-    joined = known.join(comp, "h1", "left").withColumn("c", F.coalesce("c", "h1"))
-    touched = joined.where("n_lines > 1").select("c").union(comp.select("c")).distinct()
-    joined = scratch.table(joined.join(touched, "c", "left_semi"), "touched")
-    first = joined.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
-    out = scratch.table(joined.join(first, "c").select("h1", "n_lines", "doc_id", "line_no", F.col("c").alias("component"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")), "classes")
-    scratch.drop(signed, shared, pairs, sets, links, joined)
+    comp = connected_components(links, scratch).withColumnsRenamed({"node": "k", "component": "c"})
+    known = signed.select("h1", "n_lines")
+    joined = known.join(comp, known.h1 == comp.k, "left").where("n_lines > 1 or c is not null")
+    classes = joined.select("h1", F.coalesce("c", "h1").alias("component"))
+    out = scratch.table(picked.select("doc_id", "line_no", "h1").join(classes, "h1").select("doc_id", "line_no", "component"), "found")
+    scratch.drop(signed, shared, pairs, picked, texts, both, links)
+    scratch.release()
     return out
 
 
+def _set(line: str, k: int = SHINGLE):
+    """The distinct shingles of a line of k characters or more, within its row (one pass of the regular expression engine)."""
+    return F.expr(f"array_distinct(regexp_extract_all({line}, '(?s)(?=(.{{{k}}}))', 1))")
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **options) -> DataFrame:
-    """Lines that go: doc_id, line_no, keep_doc, keep_line (the line of its component that stays)."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    classes = line_classes(docs, id_col, text_col, min_chars, scratch=scratch, **options)
-    lines = split_lines(docs, id_col, text_col).select("doc_id", "line_no", normal("line").alias("norm")).where(F.length("norm") >= min_chars).select("doc_id", "line_no", F.xxhash64("norm").alias("h1"))
-    found = lines.join(classes.select("h1", "keep_doc", "keep_line"), "h1")
-    return found.where("doc_id <> keep_doc or line_no <> keep_line").select(F.col("doc_id").alias(id_col), "line_no", "keep_doc", "keep_line").distinct()
+    """Lines that go: doc_id, line_no (from 0), keep_doc, keep_line (the line of its component that stays: the first by id and number).
+
+    Null and empty texts have no lines, rows without an id take no part, lines of under min_chars characters are never
+    duplicates; rows that repeat an id are one document's lines, numbered alike. Other columns are ignored.
+    """
+    found = line_classes(docs, id_col, text_col, min_chars, **options)
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
+    out = found.join(first, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
+    return out.where("doc_id <> keep_doc or line_no <> keep_line").distinct().withColumnRenamed("doc_id", id_col)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import _STEP, Scratch, hash_filter, in_filter, mix, signature, slices, text_buffers, words
 
 #: A repeat has this many words at least; K + WINDOW - 1 is one less at most, so that every repeat holds a minimiser.
-MIN_WORDS, K = 50, 16
+MIN_WORDS, K = 50, 25
 
 
 def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -111,8 +111,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[
     yield flush()
 
 
-def _passages(batches: Iterator[pa.RecordBatch], least: int, k: int, shared) -> Iterator[pa.RecordBatch]:
-    """Passages of ``least`` words around suffixes whose gram may be shared: hash, class, first word."""
+def _passages(batches: Iterator[pa.RecordBatch], least: int, k: int, shared, repeated=None) -> Iterator[pa.RecordBatch]:
+    """Passages of ``least`` words around suffixes whose gram may be shared: hash, class, first word; only those that may repeat, if a filter tells."""
     bits = shared.value
     out: list[list[np.ndarray]] = [[], [], []]
     held, seen = 0, set()
@@ -132,7 +132,10 @@ def _passages(batches: Iterator[pa.RecordBatch], least: int, k: int, shared) ->
             continue
         if len(seen) < 200_000:
             seen.add(c)
-        out[0].append(grams(h, least, 5)[start].view(np.int64))
+        p = grams(h, least, 5)
+        if repeated is not None:
+            start = start[in_filter(repeated.value, p[start])]
+        out[0].append(p[start].view(np.int64))
         out[1].append(np.full(len(start), c, np.int64))
         out[2].append(start.astype(np.int32))
         held += len(start)
@@ -158,14 +161,21 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, id_c
     both = scratch.table(src.mapInArrow(partial(_anchors, least=min_words, k=k), "doc_id long, n long, cls long, key long"), "anchors")
     shared = both.where("key is not null").groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
     held = spark.sparkContext.broadcast(hash_filter(shared))
-    rows = scratch.table(src.mapInArrow(partial(_passages, least=min_words, k=k, shared=held), "h long, cls long, start int"), "passages")
-    twice = rows.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h")
+    scratch.release()
+    # the passages are made twice rather than kept: first to count, then those that repeat only
+    schema = "h long, cls long, start int"
+    rows = src.mapInArrow(partial(_passages, least=min_words, k=k, shared=held), schema)
+    twice = scratch.table(rows.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h"), "twice")
+    scratch.release()
+    again = spark.sparkContext.broadcast(hash_filter(twice))
+    rows = src.mapInArrow(partial(_passages, least=min_words, k=k, shared=held, repeated=again), schema)
     hits = rows.join(twice, "h").select("cls", "start").distinct()
     w = W.partitionBy("cls").orderBy("start")
     marked = hits.withColumn("new", (F.col("start") > F.lag("start", 1, -(2**30)).over(w) + min_words).cast("int"))
     spans = marked.withColumn("no", F.sum("new").over(w)).groupBy("cls", "no").agg(F.min("start").alias("s"), (F.max("start") + min_words).alias("e"))
     spans = scratch.table(spans.select("cls", F.col("s").cast("long").alias("start_word"), F.col("e").cast("long").alias("end_word")), "spans")
-    scratch.drop(rows)
+    scratch.drop(twice)
+    scratch.release()
     found = both.where("doc_id is not null").select("doc_id", "n", "cls").distinct()
     copies = found.groupBy("cls").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select(F.col("cls").alias("c_cls"))
     told = found.join(copies, found.cls == copies.c_cls, "left")

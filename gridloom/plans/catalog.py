@@ -216,7 +216,8 @@ def _file_scan(spark: SparkSession, d: str) -> DataFrame:
     for p in px:
         a[p.y, p.x] = p.r, p.g, p.b
     data = raster_file.write_file([raster_file.Spec(a, photometric=2, compression=codecs.LZW, predictor=2, tile=(32, 16))])
-    folder = os.path.join(tempfile.gettempdir(), "gridloom-files")
+    shared = spark.conf.get("spark.checkpoint.dir", None)  # seen by driver and executors; unset in local use only
+    folder = os.path.join(shared.removeprefix("file://") if shared else tempfile.gettempdir(), "gridloom-files")
     os.makedirs(folder, exist_ok=True)
     with open(path := os.path.join(folder, hashlib.md5(data).hexdigest() + ".tif"), "wb") as f:
         f.write(data)

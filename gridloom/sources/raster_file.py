@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import RasterDataError
-from ..functions import codecs
+from ..functions import codecs, fax, jpeg_parts
 
 # fixed values: tag type code -> (bytes, struct code)
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 # fixed values: tag ids
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SPP, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, COLOR_MAP = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 320
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, EXIF, GPS = 322, 323, 324, 325, 34665, 34853
+T4_OPTIONS, T6_OPTIONS, JPEG_TABLES = 292, 293, 347
 GEO_SCALE, GEO_TIEPOINTS, GEO_TRANSFORM, GEO_KEYS, GEO_DOUBLES, GEO_ASCII = 33550, 33922, 34264, 34735, 34736, 34737
 
 
@@ -111,10 +112,13 @@ class Page:
             return np.zeros((height, width, self.spp), codecs.dtype_for(self.bits))
         code, predictor, per_row = int(self.one(COMPRESSION, 1)), int(self.one(PREDICTOR, 1)), -(-width * self.spp * self.bits // 8)
         if code == codecs.JPEG:
-            if not codecs.JPEG_HOOK:
-                raise RasterDataError("no JPEG decoder is registered")
-            return np.asarray(codecs.JPEG_HOOK[-1](data, width, height, self.spp)).reshape(height, width, self.spp)
-        raw = codecs.decode(code, data)
+            return self._jpeg(jpeg_parts.whole([data], self._tables()) if self._tables() else data, width, height)
+        if code in (codecs.CCITT_RLE, codecs.CCITT_G3, codecs.CCITT_G4):
+            if self.bits != 1 or self.spp != 1:
+                raise RasterDataError("fax schemes hold one sample of one bit")
+            raw = fax.decode(code, data, width, height, int(self.one(T4_OPTIONS, 0)), int(self.one(T6_OPTIONS, 0)))
+        else:
+            raw = codecs.decode(code, data)
         if len(raw) < per_row * height:
             raise RasterDataError("a chunk is too short")
         raw = raw[: per_row * height]
@@ -127,16 +131,50 @@ class Page:
         rows = [codecs.unpack_samples(raw[k * per_row : (k + 1) * per_row], width * self.spp, self.bits) for k in range(height)]
         return np.stack(rows).reshape(height, width, self.spp)
 
+    def _tables(self) -> bytes | None:
+        t = self.tags.get(JPEG_TABLES)
+        return bytes(t) if t else None
+
+    def _jpeg(self, data: bytes, width: int, height: int) -> np.ndarray:
+        if not codecs.JPEG_HOOK:
+            raise RasterDataError("no JPEG decoder is registered")
+        out = np.asarray(codecs.JPEG_HOOK[-1](data, width, height, self.spp))
+        if out.size != width * height * self.spp:
+            raise RasterDataError(f"the JPEG decoder gave {out.size} samples for {width}x{height}")
+        return out.reshape(height, width, self.spp)
+
+    def tile_jpeg(self, src: Bytes, tx: int, ty: int) -> bytes | None:
+        """A tile as a stream of its own, for a decoder outside; None for a sparse tile."""
+        if not self.tiled or int(self.one(COMPRESSION, 1)) != codecs.JPEG:
+            raise RasterDataError("no JPEG tiles")
+        across = -(-self.width // int(self.tags[TILE_WIDTH][0]))
+        chunks = self.chunks()
+        if not (0 <= tx < across and 0 <= ty < len(chunks) // across):
+            raise IndexError(f"tile {tx}, {ty}")
+        at, n = chunks[ty * across + tx][6:]
+        if not n:
+            return None
+        data = src.read(at, n)
+        if not jpeg_parts.self_contained(data):
+            raise RasterDataError("the tile is part of a longer stream")
+        return jpeg_parts.whole([data], self._tables(), rgb=self.one(PHOTOMETRIC) == 2)
+
     def decode(self, src: Bytes, region: tuple[int, int, int, int] | None = None) -> np.ndarray:
         """Samples of a region (x, y, width, height); chunks that don't touch it are not read."""
         x, y, w, h = region or (0, 0, self.width, self.height)
         if x < 0 or y < 0 or w <= 0 or h <= 0 or x + w > self.width or y + h > self.height:
             raise RasterDataError("region outside the page")
         out = np.zeros((h, w, self.spp), codecs.dtype_for(self.bits))
-        for cx, cy, cw, ch, vw, vh, off, n in self.chunks():
+        chunks = self.chunks()
+        jpeg = int(self.one(COMPRESSION, 1)) == codecs.JPEG
+        for cx, cy, cw, ch, vw, vh, off, n in chunks:
             x0, y0, x1, y1 = max(x, cx), max(y, cy), min(x + w, cx + vw), min(y + h, cy + vh)
             if x0 < x1 and y0 < y1 and n:
-                part = self.decode_chunk(src.read(off, n), cw, ch)
+                data = src.read(off, n)
+                if jpeg and not jpeg_parts.self_contained(data):  # one stream cut over the chunks
+                    stream = jpeg_parts.whole([src.read(c[6], c[7]) for c in chunks if c[7]], self._tables())
+                    return self._jpeg(stream, self.width, self.height)[y : y + h, x : x + w]
+                part = self.decode_chunk(data, cw, ch)
                 out[y0 - y : y1 - y, x0 - x : x1 - x] = part[y0 - cy : y1 - cy, x0 - cx : x1 - cx]
         return out
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..operators import color, raster
 from ..streaming import viewport
-from . import sizing
+from . import rungs, sizing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +197,11 @@ query("lru_state", None, None)(lambda s, d: viewport.cache_batch(_events(s, d).s
 # ---------------------------------------------------------------- bytes
 
 
+_steps = f"select src, 0 as rung, w, h from ({_pages}) union all select src, 1, greatest(1, w // 2), greatest(1, h // 2) from ({_pages}) union all select src, 2, greatest(1, w // 4), greatest(1, h // 4) from ({_pages})"
+query("plan_overview", f"""select src, cast(rung as bigint) as rung, cast(greatest(1, round(w * s)) as bigint) as width, cast(greatest(1, round(h * s)) as bigint) as height
+from (select *, least(1::double, 300::double / greatest(w, h)) as s, row_number() over (partition by src order by case when greatest(w, h) >= 300 then 10 + rung else -rung end desc) as k from ({_steps})) where k = 1""", None)(
+    lambda s, d: rungs.overview_plans(_parts(s, d).select("src", F.explode(F.expr("transform(sequence(0, 2), i -> struct(i as rung, greatest(1L, w div cast(pow(2, i) as int)) as w, greatest(1L, h div cast(pow(2, i) as int)) as h))")).alias("r")).select("src", "r.*"), 300)
+)
 def _digest(df: DataFrame, text: str, key: str, code: int) -> DataFrame:
     data = df.select(F.col(key).alias("id"), F.encode(text, "UTF-8").alias("data"))
     back = codecs.map_bytes(data, "data", partial(codecs.round_trip, code=code))

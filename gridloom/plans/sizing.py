@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,22 +70,3 @@ def zoom_label(scale: Column) -> Column:
     """Percent: none, one or two decimals by size."""
     p = scale * 100
     return F.when(p >= 10, F.format_string("%.0f%%", p)).when(p >= 1, F.format_string("%.1f%%", p)).otherwise(F.format_string("%.2f%%", p))
-
-
-def strip_band_rows(width: int, rows_per_strip: int, spp: int, bits: int, most: int = 16 * MIB, limit: int = 4096) -> int:
-    """Whole strips of at most 16 MiB and 4096 rows."""
-    strip = width * rows_per_strip * bytes_per_pixel(spp, bits)
-    return max(rows_per_strip, min(limit, max(1, most // max(1, strip)) * rows_per_strip))
-
-
-def rung_downsample(rw: int, rh: int, bw: int, bh: int, tile: int = 0) -> float | None:
-    """How much smaller a page is than the base; None if it is no reduced copy. Powers of two with under a tile of padding win."""
-    if rw >= bw or rh > bh:
-        return None
-    if tile:
-        for k in range(1, 20):
-            f = 1 << k
-            if 0 <= rw - math.ceil(bw / f) < tile and 0 <= rh - math.ceil(bh / f) < tile:
-                return float(f)
-    a, b = bw / rw, bh / rh
-    return a if abs(a - b) <= 0.2 * max(a, b) else None

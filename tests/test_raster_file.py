@@ -78,7 +78,6 @@ def test_planning_examples():
     assert sizing.chunk_plan(100, 1000, 300, 1, 8, 10**9)[-1] == (900, 100)
     assert (sizing.workers(200, 50, 8), sizing.workers(200, 50, 3), sizing.workers(1, 50, 3)) == (4, 3, 1)
     assert raster.level_dims(32, 32, 8) == [(32, 32), (16, 16), (8, 8)] and raster.level_dims(32, 8, count=3) == [(32, 8), (16, 4), (8, 2)]
-    assert sizing.rung_downsample(128, 112, 1024, 784, 16) == 8 and sizing.rung_downsample(64, 64, 1024, 784, 16) == 16 and sizing.rung_downsample(99, 50, 1024, 784, 16) is None
     assert sizing.decode_budget(None, None, 5)[0] == 512 << 20
 
 

@@ -134,7 +134,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _without(text_col: str):
     """The text without the lines in __removed."""
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(__removed, i)), '\\n')")
+    # the array of one binds the lines to a name: they are split once; numbers are looked up by hash, so many lines may go from a long text
+    kept = F.expr(f"transform(array(split(`{text_col}`, '\\n')), lines -> array_join(transform(array_except(sequence(0, size(lines) - 1), __removed), i -> lines[i]), '\\n'))[0]")
     return F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)
 
 

@@ -7,8 +7,8 @@ of each stays: the first in order of document id and line number.
 
 Shingles are generated, hashed and reduced to the minima where the lines are read, grouped by the line's hash: one shuffle of
 a few numbers a line finds equal lines and completes signatures. Texts of candidates are picked out by a blocked Bloom
-filter of fixed size on the line's hash. A large bucket isn't expanded to pairs: its lines are linked to its least line and to their neighbours in the
-order of another minimum, in every band they share.
+filter of fixed size on the line's hash. A bucket is compared in full, in two rounds: all its lines with its least and its
+greatest one, then, in blocks of BLOCK lines, all pairs that these links have not joined yet.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BANDS, ROWS = 5, 3
 MIN_CHARS = 24
 #: The filter of candidates has 2**FILTER_BITS blocks of 72 bytes at most (4.7 MB).
 FILTER_BITS = 16
+#: Buckets of more lines are cut into blocks of about so many, compared block by block.
+BLOCK = 128
 
 
 def normal(line):
@@ -68,19 +70,16 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)]
     signed = shingles.groupBy("h1").agg(F.sum(F.expr("if(at = 0, 1L, 0L)")).alias("n_lines"), *minima)
     band = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + x}") for x in range(rows)]) for b in range(bands)]
-    signed = scratch.table(signed.select("h1", "n_lines", F.col("m0").alias("tie"), *[x.alias(f"b{j}") for j, x in enumerate(band)]), "signed")
+    signed = scratch.table(signed.select("h1", "n_lines", *[x.alias(f"b{j}") for j, x in enumerate(band)]), "signed")
 
-    keys = signed.select("h1", "tie", F.explode(F.array(*[f"b{j}" for j in range(bands)])).alias("key"))
+    keys = signed.select("h1", F.explode(F.array(*[f"b{j}" for j in range(bands)])).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("n > 1")
     shared = scratch.table(shared, "buckets")
     two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    large = shared.where("n > 2").select("key", "lo")
-    more = passing(keys, "key", bloom_blocks(large, "key", FILTER_BITS), FILTER_BITS).join(large, "key")
-    w = W.partitionBy("key", "part").orderBy("tie", "h1")
-    more = more.withColumn("part", F.pmod(F.shiftright("tie", 20), F.lit(16)))
-    near = more.select("h1", "lo", F.lag("h1").over(w).alias("before"))
-    linked = near.select("h1", F.explode(F.array("lo", "before")).alias("o")).where("o is not null and o <> h1").select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b"))
-    pairs = scratch.table(two.unionByName(linked).distinct(), "pairs")
+    large = shared.where("n > 2").select("key", "n", "lo", "hi")
+    more = scratch.table(passing(keys, "key", bloom_blocks(large, "key", FILTER_BITS), FILTER_BITS).join(large, "key"), "members")
+    star = more.select("h1", F.explode(F.array("lo", "hi")).alias("o")).where("o <> h1").select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b"))
+    pairs = scratch.table(two.unionByName(star).distinct(), "pairs")
 
     scratch.release()
     # the lines of candidates and of classes of several lines, the others as they slip through the filter
@@ -91,21 +90,45 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # exact verification on the candidates' texts
     texts = picked.select("h1", "norm").join(wanted, "h1").groupBy("h1").agg(F.first("norm").alias("norm"))
     texts = scratch.table(texts, "texts")
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
-    both = both.select("a", "b", _set("ta").alias("ga"), _set("tb").alias("gb")).select("a", "b", (F.size("ga") + F.size("gb")).cast("long").alias("n"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"))
-    both = scratch.table(both, "compared")  # a filter on what is computed here would compute it again for each use
-    links = scratch.table(both.where(f"100 * shared >= {similarity_pct} * (n - shared)").select("a", "b"), "links")
+    first = _links(pairs, texts, similarity_pct, scratch)
+    rest = scratch.table(_apart(more, connected_components(first, scratch)), "rest")
+    links = scratch.table(first.unionByName(_links(rest, texts, similarity_pct, scratch)), "links")
 
     comp = connected_components(links, scratch).withColumnsRenamed({"node": "k", "component": "c"})
     known = signed.select("h1", "n_lines")
     joined = known.join(comp, known.h1 == comp.k, "left").where("n_lines > 1 or c is not null")
     classes = joined.select("h1", F.coalesce("c", "h1").alias("component"))
     out = scratch.table(picked.select("doc_id", "line_no", "h1").join(classes, "h1").select("doc_id", "line_no", "component"), "found")
-    scratch.drop(signed, shared, pairs, picked, texts, both, links)
+    scratch.drop(signed, shared, more, pairs, rest, picked, texts, first, links)
     scratch.release()
     return out
 
 
+def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs a, b of a bucket in different components, without those of its least or greatest line (compared before).
+    members: key, h1 and the bucket's n, lo and hi."""
+    inner = members.where("n > 3 and h1 <> lo and h1 <> hi")
+    inner = inner.join(comp, inner.h1 == comp.node, "left").select("key", "h1", F.coalesce("component", "h1").alias("c"), F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)").alias("nb"))
+    split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    placed = inner.join(split, "key").withColumn("blk", F.expr("cast(pmod(xxhash64(h1), nb) as int)"))
+    spread = placed.select("key", "h1", "c", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    spread = spread.select("key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "h1", "c", "blk")
+    left = spread.where("blk = x").drop("blk")
+    right = spread.where("blk = y").select("key", "x", "y", F.col("h1").alias("o"), F.col("c").alias("oc"))
+    pairs = left.join(right, ["key", "x", "y"]).where("c <> oc and (x < y or h1 < o)")
+    return pairs.select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, texts: DataFrame, similarity_pct: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose lines reach the similarity, by their exact sets."""
+    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
+    both = both.select("a", "b", _set("ta").alias("ga"), _set("tb").alias("gb")).select("a", "b", (F.size("ga") + F.size("gb")).cast("long").alias("n"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"))
+    both = scratch.table(both, "compared")  # a filter on what is computed here would compute it again for each use
+    out = scratch.table(both.where(f"100 * shared >= {similarity_pct} * (n - shared)").select("a", "b"), "links")
+    scratch.drop(both)
+    return out
+
+
 def _set(line: str, k: int = SHINGLE):
     """The distinct shingles of a line of k characters or more, within its row (one pass of the regular expression engine)."""
     return F.expr(f"array_distinct(regexp_extract_all({line}, '(?s)(?=(.{{{k}}}))', 1))")

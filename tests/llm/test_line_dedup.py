@@ -90,3 +90,17 @@ def test_no_python_in_the_plan(spark, capsys):
     df.write.mode("overwrite").parquet(p := ld.Scratch(spark, "t").path())
     ld.line_report(spark.read.parquet(p)).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_families_of_one_template(spark):
+    """Buckets full of lines that are alike but under the limit hold the pairs that reach it."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    head, tail, lines = word(90), word(90), []
+    for _ in range(250):
+        own = word(30)
+        lines += [f"{head}#{own}#{tail}", f"{head}#{own}#{tail[:60]}{r.choice('0123456789')}{tail[61:]}"]
+    rows = list(enumerate(lines))
+    got = {(x.doc_id, x.line_no) for x in ld.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = set(brute(rows))
+    assert got <= want and 240 <= len(want) <= 260 and len(got) >= 0.97 * len(want)

@@ -5,7 +5,7 @@ class PERMUTATIONS minima of the shingle hashes under fixed exclusive-or masks m
 are candidates, verified by their exact Jaccard similarity; distributed union-find makes components, and one line
 of each stays: the first in order of document id and line number.
 
-Shingles are generated, hashed and reduced to the minima where the lines are read, grouped by the line's hash: one shuffle of
+All shingles are generated, hashed and reduced to the minima where the lines are read, grouped by the line's hash: one shuffle of
 a few numbers a line finds equal lines and completes signatures. Texts of candidates are picked out by a blocked Bloom
 filter of fixed size on the line's hash. A bucket is compared in full, in two rounds: all its lines with its least and its
 greatest one, then, in blocks of BLOCK lines, all pairs that these links have not joined yet.
@@ -22,7 +22,7 @@ from .common import Scratch, connected_components
 from .url_filter import bloom_blocks, passing
 
 SHINGLE, SIMILARITY_PCT = 8, 80
-BANDS, ROWS = 5, 3
+BANDS, ROWS = 6, 3
 #: Lines shorter than this (after trimming) are left alone: they carry too little to tell a copy.
 MIN_CHARS = 24
 #: The filter of candidates has 2**FILTER_BITS blocks of 72 bytes at most (4.7 MB).
@@ -43,9 +43,7 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _masks(n: int) -> list[int]:
-    """Masks of 62 bits: the least of h ^ mask (signed) is then among the hashes that begin with the bits 10, if the line
-    has one. The others need not be looked at, but for the first, which keeps lines without such a hash."""
-    return np.random.default_rng(31).integers(0, 2**62, n).tolist()
+    return np.random.default_rng(31).integers(-(2**63), 2**63 - 1, n).tolist()
 
 
 def shingle_hashes(classes: DataFrame, keep: list[str], k: int = SHINGLE) -> DataFrame:
@@ -65,7 +63,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table in the shared folder."""
     scratch = Scratch(docs.sparkSession, "lines")
     keyed = _hashed(docs, id_col, text_col, min_chars)
-    shingles = shingle_hashes(keyed, ["h1"]).where("at = 0 or shiftrightunsigned(h, 62) = 2")
+    shingles = shingle_hashes(keyed, ["h1"])
     masks = _masks(bands * rows)
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)]
     signed = shingles.groupBy("h1").agg(F.sum(F.expr("if(at = 0, 1L, 0L)")).alias("n_lines"), *minima)

@@ -104,3 +104,16 @@ def test_families_of_one_template(spark):
     got = {(x.doc_id, x.line_no) for x in ld.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     want = set(brute(rows))
     assert got <= want and 240 <= len(want) <= 260 and len(got) >= 0.97 * len(want)
+
+
+def test_recall_of_short_lines(spark):
+    """Pairs of lines that just reach the limit, with 25 and 40 shingles in their union."""
+    r, rows = random.Random(6), []
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for both, one, other in ((20, 2, 3), (32, 4, 4)):
+        for _ in range(1000):
+            mid = word(both + ld.SHINGLE - 1)
+            rows += [word(one) + mid, mid + word(other)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [x.doc_id for x in ld.duplicate_lines(df).collect()]
+    assert sum(i < 2000 for i in got) >= 970 and sum(i >= 2000 for i in got) >= 970

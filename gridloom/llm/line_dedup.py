@@ -23,7 +23,7 @@ from .url_filter import bloom_blocks, passing
 
 SHINGLE, SIMILARITY_PCT = 8, 80
 BANDS, ROWS = 6, 3
-#: Lines shorter than this (after trimming) are left alone: they carry too little to tell a copy.
+#: Lines shorter than this (in the compared form) are left alone: they carry too little to tell a copy.
 MIN_CHARS = 24
 #: The filter of candidates has 2**FILTER_BITS blocks of 72 bytes at most (4.7 MB).
 FILTER_BITS = 16
@@ -31,9 +31,16 @@ FILTER_BITS = 16
 BLOCK = 128
 
 
-def normal(line):
-    """The compared form of a line: without spaces at its ends."""
-    return F.trim(line)
+def normal(line, fold: bool = False):
+    """The compared form of a line: without spaces at its ends; with fold, lower case and white space as single spaces."""
+    if not fold:
+        return F.trim(line)
+    low = F.lower(line)
+    # most lines have nothing to fold: a scan for it costs less than the expression
+    odd = F.contains(low, F.lit("  "))
+    for c in "\t\r\f\v":
+        odd = odd | F.contains(low, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,16 +60,16 @@ def shingle_hashes(classes: DataFrame, keep: list[str], k: int = SHINGLE) -> Dat
     return wide.select(*keep, "wide", at.alias("at")).select(*keep, "at", F.xxhash64(F.expr(f"substring(wide, 2 * at + 1, {2 * k})")).alias("h"))
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    lines = split_lines(docs, id_col, text_col).select("doc_id", "line_no", normal("line").alias("norm")).where(F.length("norm") >= min_chars)
+def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int, fold: bool) -> DataFrame:
+    lines = split_lines(docs, id_col, text_col).select("doc_id", "line_no", normal("line", fold).alias("norm")).where(F.length("norm") >= min_chars)
     return lines.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, similarity_pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, similarity_pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS, fold: bool = False) -> DataFrame:
     """Lines that have a copy or a near copy: doc_id, line_no, component (least hash of the lines reachable by links). A
     table in the shared folder."""
     scratch = Scratch(docs.sparkSession, "lines")
-    keyed = _hashed(docs, id_col, text_col, min_chars)
+    keyed = _hashed(docs, id_col, text_col, min_chars, fold)
     shingles = shingle_hashes(keyed, ["h1"])
     masks = _masks(bands * rows)
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)]
@@ -173,5 +180,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document: its number of lines, those that go, and the characters that stay."""
-    out = line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), fold=True)
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.length("text").cast("long").alias("kept_chars"))

@@ -117,3 +117,14 @@ def test_recall_of_short_lines(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = [x.doc_id for x in ld.duplicate_lines(df).collect()]
     assert sum(i < 2000 for i in got) >= 970 and sum(i >= 2000 for i in got) >= 970
+
+
+def test_queries_fold_case_and_white_space(spark):
+    import corpus_pipeline
+
+    line = "The quick brown fox jumps over a lazy dog"
+    texts = [line, line.upper(), line.replace(" ", "\t"), line.replace(" ", "   "), f"  {line}\r", line.replace(" ", "\f \v"), "a line of its own, without any copy"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{(p := ld.Scratch(spark, 't').path())}/documents.parquet")
+    assert {x.doc_id: x.n_removed for x in ld.op2_line_dedup(spark, p).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0}
+    assert {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, df, p).collect()} == {0: texts[0], 6: texts[6]}

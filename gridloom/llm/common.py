@@ -272,7 +272,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int = 40) ->
 
     Alternating large-star and small-star steps until no edge changes; every step is a join and a
     grouped minimum whose rows are linear in the edges, and is cut by a table in the shared folder.
-    Nodes without an edge have no row; an empty input gives an empty result.
+    Nodes without an edge have no row; an empty input gives an empty result. Edges that still change after ``most`` rounds are an error.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.table(e, "edges")
@@ -296,6 +296,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int = 40) ->
         e, was, at = new, at, mark(new)
         if at == was:
             break
+    else:
+        raise RuntimeError(f"components of {at[0]} edges have not settled in {most} rounds")
     # every edge now runs from a node to the smallest node of its component
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())

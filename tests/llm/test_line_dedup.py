@@ -1,7 +1,10 @@
 import random
 import re
 
+import pytest
+
 from gridloom.llm import line_dedup as ld
+from gridloom.llm.common import connected_components
 
 
 def brute(rows, min_chars=24, k=8):
@@ -128,3 +131,10 @@ def test_queries_fold_case_and_white_space(spark):
     df.write.parquet(f"{(p := ld.Scratch(spark, 't').path())}/documents.parquet")
     assert {x.doc_id: x.n_removed for x in ld.op2_line_dedup(spark, p).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0}
     assert {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, df, p).collect()} == {0: texts[0], 6: texts[6]}
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    path = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected_components(path, ld.Scratch(spark, "t"), most=2)
+    assert {x.component for x in connected_components(path, ld.Scratch(spark, "t")).collect()} == {0}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -228,42 +229,64 @@ def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
-#: Bits of a filter of hashes: 8 MB, whatever the input.
-FILTER_BITS = 26
+#: A filter of hashes has 16 bits a hash, 2**FILTER_BITS (32 MB) at most; whoever needs more goes by a join.
+FILTER_BITS = 28
 
 
-def _filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for b in batches:
-        bits[(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    rows = [(i, zlib.compress(np.packbits(x).tobytes(), 1)) for i, x in enumerate(bits.reshape(SKETCH_BLOCKS, -1)) if x.any()]
-    if rows:
-        yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in rows], pa.int32()), "z": pa.array([z for _, z in rows], pa.binary())})
+def filter_bits(n: int) -> int | None:
+    """Size of a filter of n hashes as a power of two; None where that is over the bound."""
+    bits = max(16, (16 * n).bit_length())
+    return bits if bits <= FILTER_BITS else None
 
 
-def _or_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+def _filter_blocks(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << n_bits >> 3, np.uint8)
     for b in batches:
-        for i, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(z), np.uint8)
-            total[i] = total[i] | x if i in total else x
-    for i, x in total.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "z": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
-
-
-def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """Packed bits of a one-hash Bloom filter of a long column of hashes: fixed size, false hits possible, no misses."""
-    out = np.zeros((SKETCH_BLOCKS, (1 << FILTER_BITS) // SKETCH_BLOCKS // 8), np.uint8)
-    for i, z in hashes.mapInArrow(_filter_blocks, "block int, z binary").repartition(SKETCH_BLOCKS, "block").mapInArrow(_or_blocks, "block int, z binary").collect():
-        out[i] = np.frombuffer(zlib.decompress(z), np.uint8)
+        slot = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - n_bits)
+        np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (slot & np.uint64(7)).astype(np.uint8))
+    for i, x in enumerate(bits.reshape(SKETCH_BLOCKS, -1)):
+        if x.any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "z": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
+
+
+def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Packed bits of a one-hash Bloom filter of a long column of hashes: 2**bits, false hits possible, no misses.
+    The hashes are dealt by their first bits, so a task holds one of SKETCH_BLOCKS parts of the filter alone."""
+    out = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS // 8), np.uint8)
+    column = F.col(f"`{hashes.columns[0]}`")
+    dealt = hashes.repartition(SKETCH_BLOCKS, F.shiftrightunsigned(column, 64 - SKETCH_BLOCKS.bit_length() + 1))
+    for i, z in dealt.mapInArrow(partial(_filter_blocks, n_bits=bits), "block int, z binary").collect():
+        out[i] |= np.frombuffer(zlib.decompress(z), np.uint8)
     return out.ravel()
 
 
 def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    slot = (h >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
+# ---------------------------------------------------------------- joins with hot keys
+
+#: Keys with a share of 1 / HOT_SHARE of all rows or more: HOT_SHARE at most.
+HOT_SHARE = 1024
+
+
+def join_weighted(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], weight: str) -> DataFrame:
+    """rows joined (inner) with a table of one row per key that tells how many rows the key has: keys that hold a
+    share of 1 / HOT_SHARE or more of all rows, HOT_SHARE at most, are broadcast, the others shuffled."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot, rare = (table.where(F.col(weight) * HOT_SHARE >= total), table.where(F.col(weight) * HOT_SHARE < total))
+
+    def same(other: DataFrame):
+        out = F.lit(True)
+        for a, b in on:
+            out = out & (rows[a] == other[b])
+        return out
+
+    few, names = hot.select(*[b for _, b in on]), F.broadcast(hot)
+    return rows.join(names, same(names), "inner").unionByName(rows.join(F.broadcast(few), same(few), "left_anti").join(rare, same(rare), "inner"))
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -1,34 +1,39 @@
 """Fuzzy line dedup by MinHash, in native Spark only.
 
-A line's set holds its distinct SHINGLE-character shingles (the whole line, if shorter). Equal lines are one class. For each
-class PERMUTATIONS minima of the shingle hashes under fixed exclusive-or masks make BANDS bands; classes that agree in a band
-are candidates, verified by their exact Jaccard similarity; distributed union-find makes components, and one line
-of each stays: the first in order of document id and line number.
+A line's set holds its distinct SHINGLE-character shingles. Equal lines are one class. For each class minima of the shingle
+hashes under fixed exclusive-or masks make bands of three; classes that agree in a band are candidates, verified by their
+exact Jaccard similarity; distributed union-find makes components, and one line of each stays: the first in order of document
+id and line number. Lines of under MIN_CHARS characters are duplicates only of lines equal to them.
 
 All shingles are generated, hashed and reduced to the minima where the lines are read, grouped by the line's hash: one shuffle of
 a few numbers a line finds equal lines and completes signatures. Texts of candidates are picked out by a blocked Bloom
-filter of fixed size on the line's hash. A bucket is compared in full, in two rounds: all its lines with its least and its
-greatest one, then, in blocks of BLOCK lines, all pairs that these links have not joined yet.
+filter whose size follows their number. Each candidate gets a parity sketch of its set, at least two bits a shingle: the bits in
+which two sketches differ are never more than the shingles in which the sets differ, so pairs that can't link are told
+without their texts, and none that does link is lost. A bucket is compared in full, in two rounds: all its lines with its
+least and its greatest one, then, block by block, all pairs that these links have not joined yet. A task that compares two
+blocks emits only links that join parts not yet joined.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, join_weighted, shuffle_partitions
 from .url_filter import bloom_blocks, passing
 
 SHINGLE, SIMILARITY_PCT = 8, 80
-BANDS, ROWS = 6, 3
-#: Lines shorter than this (in the compared form) are left alone: they carry too little to tell a copy.
+#: A signature has nine minima, three by three; the twelve lines of the affine plane of order 3 are its bands. Two sets whose minima
+#: agree with probability 0.8 each agree in a band with probability 0.990.
+ROWS = 3
+PLANE = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
+#: Lines shorter than this (in the compared form) have no near copies, only exact ones: they carry too little to tell.
 MIN_CHARS = 24
-#: The filter of candidates has 2**FILTER_BITS blocks of 72 bytes at most (4.7 MB).
-FILTER_BITS = 16
-#: Buckets of more lines are cut into blocks of about so many, compared block by block.
-BLOCK = 128
+#: The filter of candidates has 2**FILTER_BITS blocks of 72 bytes at most (19 MB); for more candidates there is none, but a semi-join.
+FILTER_BITS = 18
+#: Buckets with more lines, or more characters, are cut into blocks of about so many, compared block by block.
+BLOCK, BLOCK_CHARS = 512, 4 << 20
 
 
 def normal(line, fold: bool = False):
@@ -53,129 +58,203 @@ def _masks(n: int) -> list[int]:
     return np.random.default_rng(31).integers(-(2**63), 2**63 - 1, n).tolist()
 
 
-def shingle_hashes(classes: DataFrame, keep: list[str], k: int = SHINGLE) -> DataFrame:
-    """A row per shingle: the kept columns, its place and its hash h. Characters are UTF-16 units of 2 bytes, so a shingle is a slice of the line's bytes."""
+def shingle_hashes(classes: DataFrame, keep: list[str], min_chars: int = 0, k: int = SHINGLE) -> DataFrame:
+    """A row per shingle: the kept columns, its place and its hash h; one row for lines of under min_chars. Characters are
+    UTF-16 units of 2 bytes, so a shingle is a slice of the line's bytes."""
     wide = classes.select(*keep, F.encode("norm", "UTF-16BE").alias("wide"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length("wide") / 2).cast("int") - k)))
+    size = (F.octet_length("wide") / 2).cast("int")
+    at = F.explode(F.sequence(F.lit(0), F.when(size < min_chars, 0).otherwise(F.greatest(F.lit(0), size - k))))
     return wide.select(*keep, "wide", at.alias("at")).select(*keep, "at", F.xxhash64(F.expr(f"substring(wide, 2 * at + 1, {2 * k})")).alias("h"))
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int, fold: bool) -> DataFrame:
-    lines = split_lines(docs, id_col, text_col).select("doc_id", "line_no", normal("line", fold).alias("norm")).where(F.length("norm") >= min_chars)
+def _hashed(docs: DataFrame, id_col: str, text_col: str, fold: bool) -> DataFrame:
+    # the filter is on the line as it is: one on its compared form would make that form twice
+    lines = split_lines(docs, id_col, text_col).where(F.trim("line", F.lit(" \t\r\f\v")) != "").select("doc_id", "line_no", normal("line", fold).alias("norm"))
     return lines.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, similarity_pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS, fold: bool = False) -> DataFrame:
-    """Lines that have a copy or a near copy: doc_id, line_no, component (least hash of the lines reachable by links). A
-    table in the shared folder."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    keyed = _hashed(docs, id_col, text_col, min_chars, fold)
-    shingles = shingle_hashes(keyed, ["h1"])
-    masks = _masks(bands * rows)
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, similarity_pct: int = SIMILARITY_PCT, bands: int | None = None, rows: int = ROWS, fold: bool = False, block: int = BLOCK) -> DataFrame:
+    """Lines that have a copy or a near copy: doc_id, line_no, keep_doc, keep_line (the first line that is reachable by links). A
+    table in the shared folder. bands: instead of PLANE, so many bands of their own minima, ``rows`` each."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lines")
+    min_chars = max(min_chars, SHINGLE)
+    keyed = _hashed(docs, id_col, text_col, fold)
+    # the last bit of a class's number tells whether its lines may have near copies
+    keyed = keyed.withColumn("h1", F.expr(f"(h1 & -2L) | if(octet_length(encode(norm, 'UTF-16BE')) >= {2 * min_chars}, 1L, 0L)"))
+    scheme = PLANE if bands is None else tuple(tuple(range(b * rows, (b + 1) * rows)) for b in range(bands))
+    masks = _masks(1 + max(map(max, scheme)))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)]
-    signed = shingles.groupBy("h1").agg(F.sum(F.expr("if(at = 0, 1L, 0L)")).alias("n_lines"), *minima)
-    band = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + x}") for x in range(rows)]) for b in range(bands)]
-    signed = scratch.table(signed.select("h1", "n_lines", *[x.alias(f"b{j}") for j, x in enumerate(band)]), "signed")
+    signed = shingle_hashes(keyed, ["h1"], min_chars).groupBy("h1").agg(F.sum(F.expr("if(at = 0, 1L, 0L)")).alias("n_lines"), *minima)
+    signed = scratch.table(signed, "signed")
+    scratch.release()
 
-    keys = signed.select("h1", F.explode(F.array(*[f"b{j}" for j in range(bands)])).alias("key"))
+    band = [F.xxhash64(F.lit(b), *[F.col(f"m{x}") for x in at]) for b, at in enumerate(scheme)]
+    keys = signed.where("h1 & 1 = 1").select("h1", F.explode(F.array(*band)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("n > 1")
     shared = scratch.table(shared, "buckets")
+    scratch.release()
     two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     large = shared.where("n > 2").select("key", "n", "lo", "hi")
-    more = scratch.table(passing(keys, "key", bloom_blocks(large, "key", FILTER_BITS), FILTER_BITS).join(large, "key"), "members")
+    more = scratch.table(_among(keys, large.select("key"), "key").join(large, "key"), "members")
     star = more.select("h1", F.explode(F.array("lo", "hi")).alias("o")).where("o <> h1").select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b"))
     pairs = scratch.table(two.unionByName(star).distinct(), "pairs")
-
+    wanted = scratch.table(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "wanted")
     scratch.release()
-    # the lines of candidates and of classes of several lines, the others as they slip through the filter
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    kept = bloom_blocks(wanted.union(signed.where("n_lines > 1").select("h1")), "h1", FILTER_BITS)
-    picked = scratch.table(passing(keyed, "h1", kept, FILTER_BITS), "picked")
-
-    # exact verification on the candidates' texts
-    texts = picked.select("h1", "norm").join(wanted, "h1").groupBy("h1").agg(F.first("norm").alias("norm"))
-    texts = scratch.table(texts, "texts")
-    first = _links(pairs, texts, similarity_pct, scratch)
-    rest = scratch.table(_apart(more, connected_components(first, scratch)), "rest")
-    links = scratch.table(first.unionByName(_links(rest, texts, similarity_pct, scratch)), "links")
-
-    comp = connected_components(links, scratch).withColumnsRenamed({"node": "k", "component": "c"})
-    known = signed.select("h1", "n_lines")
-    joined = known.join(comp, known.h1 == comp.k, "left").where("n_lines > 1 or c is not null")
-    classes = joined.select("h1", F.coalesce("c", "h1").alias("component"))
-    out = scratch.table(picked.select("doc_id", "line_no", "h1").join(classes, "h1").select("doc_id", "line_no", "component"), "found")
-    scratch.drop(signed, shared, more, pairs, rest, picked, texts, first, links)
+
+    # the lines of candidates and of classes of several lines, with those that slip through the filter
+    classes = signed.where("n_lines > 1").select("h1").union(wanted).distinct()
+    picked = scratch.table(_among(keyed.withColumn("h2", F.xxhash64("norm", F.lit(2))), classes, "h1"), "picked")
+    # one text for a hash: of lines that differ and share one, only those with the least second hash are its class
+    one = picked.groupBy("h1").agg(F.min(F.struct("h2", "norm")).alias("x")).select("h1", "x.h2", "x.norm")
+    texts = scratch.table(one.join(wanted, "h1", "left_semi"), "texts")
+    sketches = scratch.table(_sketches(texts), "sketches")
+
+    first = _links(pairs, texts, sketches, similarity_pct, scratch)
+    rest = _apart(more, connected_components(first, scratch), texts, sketches, similarity_pct, block, scratch)
+    links = scratch.table(first.unionByName(rest), "links")
+
+    # the first line of each class, then of each component; then every other line of theirs goes
+    comp = connected_components(links, scratch)
+    least = picked.groupBy("h1", "h2").agg(F.count("*").alias("n_lines"), F.min(F.struct("doc_id", "line_no")).alias("own"))
+    kept = one.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    least = least.join(kept, (least.h1 == kept.k1) & (least.h2 == kept.k2), "left_semi")
+    least = least.join(comp, least.h1 == comp.node, "left").where("n_lines > 1 or component is not null").select("h1", "h2", "n_lines", "own", F.coalesce("component", "h1").alias("c"))
+    first_of = least.groupBy("c").agg(F.min("own").alias("keep"))
+    table = scratch.table(least.join(first_of, "c").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "n_lines", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")), "classes")
+    found = join_weighted(picked.select("doc_id", "line_no", "h1", "h2"), table, [("h1", "k1"), ("h2", "k2")], "n_lines")
+    out = scratch.table(found.select("doc_id", "line_no", "keep_doc", "keep_line"), "found")
+    scratch.drop(signed, shared, more, pairs, wanted, picked, texts, sketches, first, rest, links, table)
     scratch.release()
     return out
 
 
-def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs a, b of a bucket in different components, without those of its least or greatest line (compared before).
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in keys (distinct), with some others where a filter is enough to thin them out."""
+    n = keys.count()
+    bits = max(6, (n // 16).bit_length())  # 16 keys a block, 2**-16 false hits or so
+    if bits > FILTER_BITS:
+        return rows.join(keys, key, "left_semi")
+    return passing(rows, key, bloom_blocks(keys, key, bits), bits)
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """h1, n (size of the set), lev and sk: a parity sketch of 64 * 2**lev >= 2 n bits. Texts come dealt by h1, so no step shuffles."""
+    sets = texts.repartition(shuffle_partitions(texts.sparkSession), "h1").select("h1", _set("norm").alias("g"))
+    sets = sets.select("h1", F.size("g").alias("n"), "g").withColumn("lev", F.expr("cast(ceil(log2(greatest(n, 32) / 32.0D)) as int)"))
+    bits = sets.select("h1", "n", "lev", F.explode("g").alias("s")).select("h1", "n", "lev", F.xxhash64("s").alias("h"))
+    words = bits.groupBy("h1", "n", "lev", F.expr("cast(h & (shiftleft(1L, lev) - 1) as int)").alias("slot")).agg(F.bit_xor(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")).alias("w"))
+    lists = words.groupBy("h1", "n", "lev").agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("l"))
+    full = F.expr("if(size(l) = shiftleft(1, lev), transform(l, x -> x.w), transform(sequence(0, shiftleft(1, lev) - 1), i -> coalesce(try_element_at(map_from_entries(l), i), 0L)))")
+    return lists.select("h1", "n", "lev", full.alias("sk"))
+
+
+def _may_link(x: str, y: str, pct: int) -> str:
+    """Whether two sketched sets can reach the similarity: SQL over fields n, lev and sk of x and y."""
+    need = f"(({pct} * ({x}.n + {y}.n) + {99 + pct}) div {100 + pct})"
+    fold = lambda z: f"zip_with(slice({z}.sk, 1, size({z}.sk) div 2), slice({z}.sk, size({z}.sk) div 2 + 1, size({z}.sk) div 2), (u, v) -> u ^ v)"
+    differ = lambda a, b: f"aggregate(zip_with({a}, {b}, (u, v) -> bit_count(u ^ v)), 0, (s, v) -> s + v)"
+    bits = f"case when {x}.lev = {y}.lev then {differ(f'{x}.sk', f'{y}.sk')} when {x}.lev = {y}.lev + 1 then {differ(fold(x), f'{y}.sk')} when {y}.lev = {x}.lev + 1 then {differ(f'{x}.sk', fold(y))} else 0 end"
+    return f"(least({x}.n, {y}.n) >= {need} and {bits} <= {x}.n + {y}.n - 2 * {need})"
+
+
+def _shared(a: str, b: str) -> str:
+    """Size of the intersection of the sets of two lines."""
+    return f"size(array_intersect({_set_sql(a)}, {_set_sql(b)}))"
+
+
+def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, sketches: DataFrame, pct: int, block: int, scratch: Scratch) -> DataFrame:
+    """Links a, b between lines of a bucket in different components; those of its least or greatest line are known before.
     members: key, h1 and the bucket's n, lo and hi."""
+    spark = members.sparkSession
     inner = members.where("n > 3 and h1 <> lo and h1 <> hi")
-    inner = inner.join(comp, inner.h1 == comp.node, "left").select("key", "h1", F.coalesce("component", "h1").alias("c"), F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)").alias("nb"))
+    inner = scratch.table(inner.join(comp, inner.h1 == comp.node, "left").select("key", "h1", F.coalesce("component", "h1").alias("c")), "inner")
     split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    placed = inner.join(split, "key").withColumn("blk", F.expr("cast(pmod(xxhash64(h1), nb) as int)"))
-    spread = placed.select("key", "h1", "c", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    spread = spread.select("key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "h1", "c", "blk")
-    left = spread.where("blk = x").drop("blk")
-    right = spread.where("blk = y").select("key", "x", "y", F.col("h1").alias("o"), F.col("c").alias("oc"))
-    pairs = left.join(right, ["key", "x", "y"]).where("c <> oc and (x < y or h1 < o)")
-    return pairs.select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b")).distinct()
+    full = inner.join(split, "key").join(sketches, "h1").join(texts.select("h1", "norm"), "h1")
+    full = scratch.table(full.select("key", "h1", "c", "n", "lev", "sk", "norm"), "apart")
+    blocks = full.groupBy("key").agg(F.expr(f"cast(greatest(ceil(count(*) / {block}), ceil(sum(length(norm)) / {BLOCK_CHARS})) as int)").alias("nb"))
+    placed = full.join(blocks, "key").withColumn("blk", F.expr("cast(pmod(xxhash64(h1, key), nb) as int)"))
+    placed = placed.groupBy("key", "nb", "blk").agg(F.collect_list(F.struct("h1", "c", "n", "lev", "sk", "norm")).alias("m"))
+    placed = scratch.table(placed, "blocks")
+    parts = 4 * shuffle_partitions(spark)
+    left = placed.select("key", F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("y"), F.col("m").alias("l"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
+    both = left.repartition(parts, "key", "x", "y").join(right.repartition(parts, "key", "x", "y"), ["key", "x", "y"])
+    need = f"(({pct} * (s.p.n + s.q.n) + {99 + pct}) div {100 + pct})"
+    label = "if(acc.lab[s.j] = z, acc.lab[s.i], z)"
+    some = f"flatten(transform(l, (p, i) -> transform(filter(transform(r, (q, j) -> named_struct('q', q, 'j', j)), t -> p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and {_may_link('p', 't.q', pct)}), t -> named_struct('p', p, 'q', t.q, 'i', i, 'j', if(x < y, size(l), 0) + t.j))))"
+    lab = "concat(transform(l, p -> p.c), if(x < y, transform(r, q -> q.c), cast(array() as array<bigint>)))"
+    links = f"""aggregate({some}, named_struct('lab', {lab}, 'links', cast(array() as array<struct<a: bigint, b: bigint>>)),
+        (acc, s) -> if(acc.lab[s.i] = acc.lab[s.j] or {_shared('s.p.norm', 's.q.norm')} < {need}, acc,
+            named_struct('lab', transform(acc.lab, z -> {label}), 'links', array_append(acc.links, named_struct('a', least(s.p.h1, s.q.h1), 'b', greatest(s.p.h1, s.q.h1))))),
+        acc -> acc.links)"""
+    out = scratch.table(both.select(F.explode(F.expr(links)).alias("e")).select("e.a", "e.b").distinct(), "rest")
+    scratch.drop(inner, full, placed)
+    return out
 
 
-def _links(pairs: DataFrame, texts: DataFrame, similarity_pct: int, scratch: Scratch) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
     """The pairs whose lines reach the similarity, by their exact sets."""
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
-    both = both.select("a", "b", _set("ta").alias("ga"), _set("tb").alias("gb")).select("a", "b", (F.size("ga") + F.size("gb")).cast("long").alias("n"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"))
-    both = scratch.table(both, "compared")  # a filter on what is computed here would compute it again for each use
-    out = scratch.table(both.where(f"100 * shared >= {similarity_pct} * (n - shared)").select("a", "b"), "links")
-    scratch.drop(both)
+    sa, sb = (sketches.select(F.col("h1").alias(c), F.struct("n", "lev", "sk").alias(f"s{c}")) for c in "ab")
+    near = pairs.join(sa, "a").join(sb, "b").where(_may_link("sa", "sb", pct))
+    near = scratch.table(near.select("a", "b", (F.col("sa.n") + F.col("sb.n")).alias("n")), "near")
+    both = near.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
+    out = scratch.table(both.where(f"{_shared('ta', 'tb')} >= ({pct} * n + {99 + pct}) div {100 + pct}").select("a", "b"), "links")
+    scratch.drop(near)
     return out
 
 
-def _set(line: str, k: int = SHINGLE):
-    """The distinct shingles of a line of k characters or more, within its row (one pass of the regular expression engine)."""
-    return F.expr(f"array_distinct(regexp_extract_all({line}, '(?s)(?=(.{{{k}}}))', 1))")
+def _set_sql(line: str, k: int = SHINGLE) -> str:
+    return f"array_distinct(regexp_extract_all({line}, '(?s)(?=(.{{{k}}}))', 1))"
+
+
+def _set(line: str) -> Column:
+    """The distinct shingles of a line of SHINGLE characters or more, within its row (one pass of the regular expression engine)."""
+    return F.expr(_set_sql(line))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **options) -> DataFrame:
     """Lines that go: doc_id, line_no (from 0), keep_doc, keep_line (the line of its component that stays: the first by id and number).
 
-    Null and empty texts have no lines, rows without an id take no part, lines of under min_chars characters are never
-    duplicates; rows that repeat an id are one document's lines, numbered alike. Other columns are ignored.
+    Null and empty texts have no lines, rows without an id take no part, lines without anything but spaces are never
+    duplicates, lines of under min_chars characters only of equal ones; rows that repeat an id are one document's lines,
+    numbered alike. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     found = line_classes(docs, id_col, text_col, min_chars, **options)
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
-    out = found.join(first, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
-    return out.where("doc_id <> keep_doc or line_no <> keep_line").distinct().withColumnRenamed("doc_id", id_col)
+    return found.where("doc_id <> keep_doc or line_no <> keep_line").distinct().withColumnRenamed("doc_id", id_col)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, n_lines, removed (numbers of the lines that go, ascending), text (what stays; null where
-    the text was null). Documents none of whose lines go keep their text as it is."""
-    gone = duplicate_lines(docs, id_col, text_col, **options).groupBy(id_col).agg(F.sort_array(F.collect_set("line_no")).alias("__removed")).withColumnRenamed(id_col, "__id")
-    src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    joined = src.join(gone, src[id_col] == gone["__id"], "left")
-    return joined.select(id_col, F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce("__removed", F.expr("cast(array() as array<int>)")).alias("removed"), _without("text").alias("text"))
+    the text was null). Documents none of whose lines go keep their text as it is; rows without an id keep theirs too."""
+    joined = _with_removed(docs, id_col, text_col, **options)
+    lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return joined.select(F.col("id").alias(id_col), lines.alias("n_lines"), F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"), _without().alias("text"))
+
+
+def _with_removed(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """id, text, row (the document's columns in one struct, so that their names can't clash) and removed (null: no line goes)."""
+    gone = duplicate_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **options)
+    gone = gone.groupBy(F.col("id").alias("g")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]).alias("row"))
+    return src.join(gone, src.id == gone.g, "left")
 
 
-def _without(text_col: str):
-    """The text without the lines in __removed."""
+def _without() -> Column:
+    """The text without the lines in removed."""
     # the array of one binds the lines to a name: they are split once; numbers are looked up by hash, so many lines may go from a long text
-    kept = F.expr(f"transform(array(split(`{text_col}`, '\\n')), lines -> array_join(transform(array_except(sequence(0, size(lines) - 1), __removed), i -> lines[i]), '\\n'))[0]")
-    return F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)
+    kept = F.expr("transform(array(split(text, '\\n')), lines -> array_join(transform(array_except(sequence(0, size(lines) - 1), removed), i -> lines[i]), '\\n'))[0]")
+    return F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = True, **options) -> DataFrame:
     """docs with the duplicate lines taken out of their texts; documents of which nothing but white space is left go
-    (drop_empty), others and texts without duplicates stay as they are, all columns kept."""
-    gone = duplicate_lines(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_no").alias("__removed"))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left")
-    out = joined.withColumn("__text", _without(text_col))
+    (drop_empty), others and texts without duplicates stay as they are, all columns kept. Rows that repeat an id lose the same
+    line numbers; null texts, empty texts and rows without an id stay as they are."""
+    joined = _with_removed(docs, id_col, text_col, **options).withColumn("left", _without())
     if drop_empty:
-        out = out.where("__removed is null or trim(regexp_replace(__text, '\\\\s+', ' ')) <> ''")
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+        joined = joined.where("removed is null or text is null or trim(regexp_replace(left, '\\\\s+', ' ')) <> ''")
+    return joined.select(*[F.col("left").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,22 +2,23 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import line_dedup as ld
 from gridloom.llm.common import connected_components
 
 
 def brute(rows, min_chars=24, k=8):
-    """All pairs of distinct lines by exact Jaccard."""
+    """All pairs of distinct lines by exact Jaccard; lines of under min_chars are alike only if they are equal."""
     where, sets = {}, {}
     for i, t in rows:
         if i is None or not t:
             continue
         for j, line in enumerate(t.split("\n")):
             n = line.strip(" ")
-            if len(n) >= min_chars:
+            if n.strip():
                 where.setdefault(n, []).append((i, j))
-                sets[n] = {n[x : x + k] for x in range(len(n) - k + 1)}
+                sets[n] = {n[x : x + k] for x in range(len(n) - k + 1)} if len(n) >= min_chars else {(n,)}
     up = {n: n for n in where}
 
     def root(x):
@@ -95,6 +96,59 @@ def test_no_python_in_the_plan(spark, capsys):
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
 
+def test_short_lines_go_only_as_exact_copies(spark):
+    rows = [(0, "a heading\n  \n\nx"), (1, "a heading\na headinh"), (2, " a heading \n\t\nx y"), (3, "x\n\t\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_id, x.line_no): (x.keep_doc, x.keep_line) for x in ld.duplicate_lines(df).collect()} == {(1, 0): (0, 0), (2, 0): (0, 0), (3, 0): (0, 3)} == brute(rows)
+
+
+def test_clashing_names_and_long_texts(spark):
+    own = "This line stands in two of the documents, so it goes once"
+    r = random.Random(7)
+    long = "\n".join("".join(r.choice("abcdefghijklmnop ") for _ in range(60)) for _ in range(4000))
+    rows = [(1, own, "r", 1, None, "b"), (2, f"{own}\n{long}", "r", 2, 3, None), (2, None, None, None, None, None), (None, own, "x", 4, 5, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __removed string, __id long, removed long, h1 string")
+    out = ld.dedup_lines(df)
+    assert out.columns == df.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    kept = {(i, r): t for i, t, r, *_ in got}
+    assert kept[1, "r"] == own and kept[None, "x"] == own and kept[2, None] is None and own not in kept[2, "r"]
+    assert len(kept[2, "r"].split("\n")) == 4000
+    assert {tuple(r[2:]) for r in got} == {tuple(r[2:]) for r in rows}
+
+
+def test_dense_groups_in_blocks(spark):
+    """Groups that neither the least nor the greatest line of a bucket joins, cut into blocks; every line in one component."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    head, lines = word(120), []
+    for _ in range(6):
+        own = word(50)
+        for _ in range(25):
+            p = r.randrange(50)
+            lines.append(f"{head}#{own[:p]}{r.choice('0123456789')}{own[p + 1:]}#")
+    rows = list(enumerate(lines))
+    got = {(x.doc_id, x.line_no): (x.keep_doc, x.keep_line) for x in ld.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=8).collect()}
+    assert got == brute(rows)
+
+
+def test_sketches_lose_no_link(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(300):
+        t = "".join(r.choice("abcdefgh ") for _ in range(r.choice([24, 40, 300, 2000])))
+        cut = r.randrange(len(t))
+        rows.append((i, t, t[:cut] + "".join(r.choice("xyz") for _ in range(r.randint(0, max(1, len(t) // 40)))) + t[cut:]))
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    sa, sb = (ld._sketches(df.select(F.expr(f"i * 2 + {k}").alias("h1"), F.col(c).alias("norm"))) for k, c in enumerate("ab"))
+    both = sa.selectExpr("h1 div 2 as i", "struct(n, lev, sk) as sa").join(sb.selectExpr("h1 div 2 as i", "struct(n, lev, sk) as sb"), "i").select("i", F.expr(ld._may_link("sa", "sb", 80)).alias("may"), "sa.n")
+    sets = lambda t: {t[x : x + 8] for x in range(len(t) - 7)}
+    for x in both.collect():
+        a, b = sets(rows[x.i][1]), sets(rows[x.i][2])
+        assert x.n == len(a) and (x.may or 100 * len(a & b) < 80 * len(a | b))
+    assert sum(x.may for x in both.collect()) > 100 and ld._sketches(df.limit(0).selectExpr("i as h1", "a as norm")).count() == 0
+
+
 def test_families_of_one_template(spark):
     """Buckets full of lines that are alike but under the limit hold the pairs that reach it."""
     r = random.Random(5)

@@ -7,9 +7,9 @@ id and line number. Lines of under MIN_CHARS characters are duplicates only of l
 
 All shingles are generated, hashed and reduced to the minima where the lines are read, grouped by the line's hash: one shuffle of
 a few numbers a line finds equal lines and completes signatures. Texts of candidates are picked out by a blocked Bloom
-filter whose size follows their number. Each candidate gets a parity sketch of its set, at least two bits a shingle: the bits in
-which two sketches differ are never more than the shingles in which the sets differ, so pairs that can't link are told
-without their texts, and none that does link is lost. A bucket is compared in full, in two rounds: all its lines with its
+filter whose size follows their number. Each candidate gets a bitmap of its shingles' hashes, at least four bits a shingle: the bits in which
+two bitmaps differ are never more than the shingles in which the sets differ, so most pairs that can't link are told without
+their texts, and none that does link is lost. A bucket is compared in full, in two rounds: all its lines with its
 least and its greatest one, then, block by block, all pairs that these links have not joined yet. A task that compares two
 blocks emits only links that join parts not yet joined.
 """
@@ -51,7 +51,8 @@ def normal(line, fold: bool = False):
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, line_no (from 0), line; empty texts have no line."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
-    return src.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # posexplode() and explode() would bring a filter on what they take apart, which is then made twice
+    return src.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _masks(n: int) -> list[int]:
@@ -63,7 +64,7 @@ def shingle_hashes(classes: DataFrame, keep: list[str], min_chars: int = 0, k: i
     UTF-16 units of 2 bytes, so a shingle is a slice of the line's bytes."""
     wide = classes.select(*keep, F.encode("norm", "UTF-16BE").alias("wide"))
     size = (F.octet_length("wide") / 2).cast("int")
-    at = F.explode(F.sequence(F.lit(0), F.when(size < min_chars, 0).otherwise(F.greatest(F.lit(0), size - k))))
+    at = F.explode_outer(F.sequence(F.lit(0), F.when(size < min_chars, 0).otherwise(F.greatest(F.lit(0), size - k))))
     return wide.select(*keep, "wide", at.alias("at")).select(*keep, "at", F.xxhash64(F.expr(f"substring(wide, 2 * at + 1, {2 * k})")).alias("h"))
 
 
@@ -90,7 +91,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch.release()
 
     band = [F.xxhash64(F.lit(b), *[F.col(f"m{x}") for x in at]) for b, at in enumerate(scheme)]
-    keys = signed.where("h1 & 1 = 1").select("h1", F.explode(F.array(*band)).alias("key"))
+    keys = signed.where("h1 & 1 = 1").select("h1", F.explode_outer(F.array(*band)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("n > 1")
     shared = scratch.table(shared, "buckets")
     scratch.release()
@@ -139,28 +140,29 @@ def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """h1, n (size of the set), lev and sk: a parity sketch of 64 * 2**lev >= 2 n bits. Texts come dealt by h1, so no step shuffles."""
-    sets = texts.repartition(shuffle_partitions(texts.sparkSession), "h1").select("h1", _set("norm").alias("g"))
-    sets = sets.select("h1", F.size("g").alias("n"), "g").withColumn("lev", F.expr("cast(ceil(log2(greatest(n, 32) / 32.0D)) as int)"))
-    bits = sets.select("h1", "n", "lev", F.explode("g").alias("s")).select("h1", "n", "lev", F.xxhash64("s").alias("h"))
-    words = bits.groupBy("h1", "n", "lev", F.expr("cast(h & (shiftleft(1L, lev) - 1) as int)").alias("slot")).agg(F.bit_xor(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")).alias("w"))
+    """h1, n (size of the set, repeats counted), lev and sk: a bit for each shingle's hash among 64 * 2**lev >= 4 n. Texts are dealt by h1
+    once; no later step shuffles."""
+    dealt = texts.repartition(shuffle_partitions(texts.sparkSession), "h1").withColumn("n", F.expr(f"cast(octet_length(encode(norm, 'UTF-16BE')) div 2 as int) - {SHINGLE - 1}"))
+    sized = dealt.withColumn("lev", F.expr("cast(ceil(log2(greatest(n, 16) / 16.0D)) as int)"))
+    bits = shingle_hashes(sized, ["h1", "n", "lev"])
+    words = bits.groupBy("h1", "n", "lev", F.expr("cast(h & (shiftleft(1L, lev) - 1) as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")).alias("w"))
     lists = words.groupBy("h1", "n", "lev").agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("l"))
     full = F.expr("if(size(l) = shiftleft(1, lev), transform(l, x -> x.w), transform(sequence(0, shiftleft(1, lev) - 1), i -> coalesce(try_element_at(map_from_entries(l), i), 0L)))")
     return lists.select("h1", "n", "lev", full.alias("sk"))
 
 
 def _may_link(x: str, y: str, pct: int) -> str:
-    """Whether two sketched sets can reach the similarity: SQL over fields n, lev and sk of x and y."""
-    need = f"(({pct} * ({x}.n + {y}.n) + {99 + pct}) div {100 + pct})"
-    fold = lambda z: f"zip_with(slice({z}.sk, 1, size({z}.sk) div 2), slice({z}.sk, size({z}.sk) div 2 + 1, size({z}.sk) div 2), (u, v) -> u ^ v)"
+    """Whether two sketched sets can reach the similarity: SQL over fields n, lev and sk of x and y. n may be more than the set's size:
+    sets that link differ in (100 - pct) / (100 + pct) of the sum of their sizes at most."""
+    fold = lambda z: f"zip_with(slice({z}.sk, 1, size({z}.sk) div 2), slice({z}.sk, size({z}.sk) div 2 + 1, size({z}.sk) div 2), (u, v) -> u | v)"
     differ = lambda a, b: f"aggregate(zip_with({a}, {b}, (u, v) -> bit_count(u ^ v)), 0, (s, v) -> s + v)"
     bits = f"case when {x}.lev = {y}.lev then {differ(f'{x}.sk', f'{y}.sk')} when {x}.lev = {y}.lev + 1 then {differ(fold(x), f'{y}.sk')} when {y}.lev = {x}.lev + 1 then {differ(f'{x}.sk', fold(y))} else 0 end"
-    return f"(least({x}.n, {y}.n) >= {need} and {bits} <= {x}.n + {y}.n - 2 * {need})"
+    return f"({100 + pct} * ({bits}) <= {100 - pct} * ({x}.n + {y}.n))"
 
 
-def _shared(a: str, b: str) -> str:
-    """Size of the intersection of the sets of two lines."""
-    return f"size(array_intersect({_set_sql(a)}, {_set_sql(b)}))"
+def _alike(a: str, b: str, pct: int) -> str:
+    """Whether two lines reach the similarity, within their row: an array of one binds the sets to names."""
+    return f"transform(array(struct({_set_sql(a)} as u, {_set_sql(b)} as v)), z -> {100 + pct} * size(array_intersect(z.u, z.v)) >= {pct} * (size(z.u) + size(z.v)))[0]"
 
 
 def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, sketches: DataFrame, pct: int, block: int, scratch: Scratch) -> DataFrame:
@@ -180,12 +182,11 @@ def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, sketches: Data
     left = placed.select("key", F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("y"), F.col("m").alias("l"))
     right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
     both = left.repartition(parts, "key", "x", "y").join(right.repartition(parts, "key", "x", "y"), ["key", "x", "y"])
-    need = f"(({pct} * (s.p.n + s.q.n) + {99 + pct}) div {100 + pct})"
     label = "if(acc.lab[s.j] = z, acc.lab[s.i], z)"
     some = f"flatten(transform(l, (p, i) -> transform(filter(transform(r, (q, j) -> named_struct('q', q, 'j', j)), t -> p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and {_may_link('p', 't.q', pct)}), t -> named_struct('p', p, 'q', t.q, 'i', i, 'j', if(x < y, size(l), 0) + t.j))))"
     lab = "concat(transform(l, p -> p.c), if(x < y, transform(r, q -> q.c), cast(array() as array<bigint>)))"
     links = f"""aggregate({some}, named_struct('lab', {lab}, 'links', cast(array() as array<struct<a: bigint, b: bigint>>)),
-        (acc, s) -> if(acc.lab[s.i] = acc.lab[s.j] or {_shared('s.p.norm', 's.q.norm')} < {need}, acc,
+        (acc, s) -> if(acc.lab[s.i] = acc.lab[s.j] or not {_alike('s.p.norm', 's.q.norm', pct)}, acc,
             named_struct('lab', transform(acc.lab, z -> {label}), 'links', array_append(acc.links, named_struct('a', least(s.p.h1, s.q.h1), 'b', greatest(s.p.h1, s.q.h1))))),
         acc -> acc.links)"""
     out = scratch.table(both.select(F.explode(F.expr(links)).alias("e")).select("e.a", "e.b").distinct(), "rest")
@@ -194,23 +195,23 @@ def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, sketches: Data
 
 
 def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose lines reach the similarity, by their exact sets."""
+    """The pairs whose lines reach the similarity, by the hashes of all their shingles."""
     sa, sb = (sketches.select(F.col("h1").alias(c), F.struct("n", "lev", "sk").alias(f"s{c}")) for c in "ab")
-    near = pairs.join(sa, "a").join(sb, "b").where(_may_link("sa", "sb", pct))
-    near = scratch.table(near.select("a", "b", (F.col("sa.n") + F.col("sb.n")).alias("n")), "near")
+    near = scratch.table(pairs.join(sa, "a").join(sb, "b").where(_may_link("sa", "sb", pct)).select("a", "b"), "near")
     both = near.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
-    out = scratch.table(both.where(f"{_shared('ta', 'tb')} >= ({pct} * n + {99 + pct}) div {100 + pct}").select("a", "b"), "links")
+    dealt = both.repartition(shuffle_partitions(pairs.sparkSession), "a", "b")  # what follows needs no other shuffle
+    sides = dealt.select("a", "b", F.explode_outer(F.array(F.struct(F.lit(1).alias("side"), F.col("ta").alias("norm")), F.struct(F.lit(2).alias("side"), F.col("tb").alias("norm")))).alias("s"))
+    found = shingle_hashes(sides.select("a", "b", "s.side", "s.norm"), ["a", "b", "side"]).groupBy("a", "b", "h").agg(F.bit_or("side").alias("side"))
+    shared = found.groupBy("a", "b").agg(F.count_if(F.col("side") == 3).alias("shared"), F.count("*").alias("union"))
+    out = scratch.table(shared.where(f"100 * shared >= {pct} * union").select("a", "b"), "links")
     scratch.drop(near)
     return out
 
 
 def _set_sql(line: str, k: int = SHINGLE) -> str:
-    return f"array_distinct(regexp_extract_all({line}, '(?s)(?=(.{{{k}}}))', 1))"
-
-
-def _set(line: str) -> Column:
-    """The distinct shingles of a line of SHINGLE characters or more, within its row (one pass of the regular expression engine)."""
-    return F.expr(_set_sql(line))
+    """The hashes of the distinct shingles of a line, within its row."""
+    last = f"greatest(0, cast(octet_length(wide) div 2 as int) - {k})"
+    return f"transform(array(encode({line}, 'UTF-16BE')), wide -> array_distinct(transform(sequence(0, {last}), i -> xxhash64(substring(wide, 2 * i + 1, {2 * k})))))[0]"
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **options) -> DataFrame:

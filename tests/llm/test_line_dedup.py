@@ -145,7 +145,7 @@ def test_sketches_lose_no_link(spark):
     sets = lambda t: {t[x : x + 8] for x in range(len(t) - 7)}
     for x in both.collect():
         a, b = sets(rows[x.i][1]), sets(rows[x.i][2])
-        assert x.n == len(a) and (x.may or 100 * len(a & b) < 80 * len(a | b))
+        assert x.n >= len(a) and (x.may or 100 * len(a & b) < 80 * len(a | b))
     assert sum(x.may for x in both.collect()) > 100 and ld._sketches(df.limit(0).selectExpr("i as h1", "a as norm")).count() == 0
 
 

@@ -4,22 +4,32 @@ All texts take the same random walk: at step j the symbol under the reader is wr
 a random bit that depends on j and the symbol alone. Texts at a small edit distance meet again after an edit, so their
 walks are at a small Hamming distance. A fingerprint keeps two bits of the walk at fixed sampled steps, SAMPLES an
 octave, so that any length is covered to its end; near() weighs a sample by the steps that it stands for.
+
+Near duplicates: bands of the fingerprint and of that of the reversed text, each of a few samples drawn from the whole walk in
+proportion to the steps that they stand for, so that an edit anywhere leaves one of the two walks alike up to it. Texts that
+share a band are compared by their edit distance.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, connected_components, join_weighted, mix, shuffle_partitions
 
 SAMPLES, OCTAVES, ROWS_BYTES = 64, 40, 12 << 20
 _CHUNK = 4096
+#: Bands of a walk and samples (2 bits) of a band; texts are near at an edit distance of up to this part of the longer one.
+BANDS, DRAWN, NEAR = 12, 12, 0.1
+#: A bucket of up to so many texts is compared pair by pair, others first with their least text, then in blocks of so many.
+BLOCK = 32
 
 
 def sampled_steps(samples: int = SAMPLES, octaves: int = OCTAVES) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +126,70 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
+def _lengths(m: int) -> list[int]:
+    """How many of m samples the bands of a walk are drawn from; a walk that just reaches a length also has the bands of the one before."""
+    if m < 8:
+        return []
+    steps = [8, 16, 32, *range(SAMPLES, m + 1, SAMPLES)]
+    steps = [x for x in steps if x <= m]
+    return steps[-2:] if len(steps) > 1 and m - steps[-1] < max(2, steps[-1] // 16) else steps[-1:]
+
+
+_DRAWS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _draws(length: int, way: int) -> np.ndarray:
+    """The samples of each band, drawn from the first ``length`` by their weights."""
+    if (length, way) not in _DRAWS:
+        rng, p = np.random.default_rng((19, length, way)), WEIGHTS[:length] / WEIGHTS[:length].sum()
+        _DRAWS[length, way] = np.stack([np.sort(rng.choice(length, min(DRAWN, length), replace=False, p=p)) for _ in range(BANDS)])
+    return _DRAWS[length, way]
+
+
+def band_keys(walks: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """Keys of the bands of a text's walk forwards and backwards; none for texts of a few characters, whose only near texts are equal."""
+    out = []
+    for way, w in enumerate(walks):
+        for length in _lengths(len(w)):
+            at = _draws(length, way)
+            v = (w[at].astype(np.uint64) << (2 * np.arange(at.shape[1], dtype=np.uint64))).sum(1)
+            out.append(mix(v | (np.uint64((length << 6) + (way << 5)) + np.arange(len(at), dtype=np.uint64)) << np.uint64(32), 41))
+    return np.concatenate(out).view(np.int64).tolist() if out else []
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance by bit vectors, a column of the table in a few operations on long integers; most + 1 where it is more than most."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    k = len(os.path.commonprefix([a, b]))
+    a, b = a[k:], b[k:]
+    k = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    if len(a) < len(b):
+        a, b = b, a
+    m = len(b)
+    if not m:
+        return min(len(a), most + 1)
+    codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    where = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, left = full, 0, m, len(a)
+    for c in a:
+        eq = where.get(c, 0)
+        x = eq | down
+        y = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | full & ~(y | up), up & y
+        score += bool(plus & last) - bool(minus & last)
+        left -= 1
+        if score - left > most:
+            return most + 1
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | full & ~(x | plus), plus & x
+    return min(score, most + 1)
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+MORE = ", t1 long, t2 long, bands array<long>"
 
 
 def _results(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
@@ -126,21 +199,27 @@ def _results(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
     edited = [_edited(t, f) for t, f in zip(texts, following, strict=True)]
     distinct = list(dict.fromkeys([*texts, *edited, *following]))
     walks = dict(zip(distinct, walk(distinct), strict=True))
+    own = list(dict.fromkeys(texts))
+    back = dict(zip(own, walk([t[::-1] for t in own]), strict=True))
+    more = {t: (*np.frombuffer(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64).tolist(), band_keys((walks[t], back[t]))) for t in own}
     return [
-        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), to_text(walks[t]), to_text(walks[e]), near(walks[t], walks[e]), near(walks[t], walks[f]))
+        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), to_text(walks[t]), to_text(walks[e]), near(walks[t], walks[e]), near(walks[t], walks[f]), *more[t])
         for i, t, e, f in zip(ids, texts, edited, following, strict=True)
     ]
 
 
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+_NAMES = [f.split()[0] for f in (RESULT + MORE).split(", ")]
+
+
 def _batch(rows: list[tuple], part: int, head: str | None, tail: tuple | None) -> pa.RecordBatch:
-    cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(7)]
+    cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in _NAMES]
     more = [("head", head, None)] if head is not None else []
     more += [("tail", tail[1], tail[0])] if tail is not None else []
     k, m = len(rows), len(more)
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    arrays = [pa.array((cols[0] if j == 0 else cols[j]) + ([x[2] for x in more] if j == 0 else [None] * m), types[j]) for j in range(7)]
+    arrays = [pa.array(c + ([x[2] for x in more] if j == 0 else [None] * m), t) for j, (c, t) in enumerate(zip(cols, _TYPES, strict=True))]
     arrays += [pa.array([part] * (k + m), pa.int32()), pa.array([None] * k + [x[0] for x in more], pa.string()), pa.array([None] * k + [x[1] for x in more], pa.string())]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "edge", "edge_text"])
+    return pa.RecordBatch.from_arrays(arrays, names=[*_NAMES, "part", "edge", "edge_text"])
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +246,21 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = _results(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
-        yield _batch(rows, 0, None, None).select(range(7))
+        yield _batch(rows, 0, None, None).select(range(len(_NAMES)))
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of RESULT with a 128-bit hash of the text and its band keys: tables in the shared folder."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "fingerprints")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    ordered = src.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
+    t = scratch.table(ordered.mapInArrow(_run, f"{RESULT}{MORE}, part int, edge string, edge_text string"), "ranges")
+    scratch.release()
+    ends = t.where("edge is not null").groupBy("part").agg(F.max(F.when(F.col("edge") == "head", F.col("edge_text"))).alias("head"), F.max(F.when(F.col("edge") == "tail", F.col("edge_text"))).alias("tail"), F.max("doc_id").alias("doc_id"))
+    # one row per task
+    follow = ends.selectExpr("doc_id", "tail", "coalesce(lead(head) over (order by part), first(head) over (order by part)) as following")
+    return t.where("edge is null").drop("part", "edge", "edge_text").unionByName(scratch.table(follow.mapInArrow(_edges, RESULT + MORE), "edges"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,52 +268,91 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     points replaced by the first as many, or all, of the next document by id; after the last comes the first) and likenesses.
 
     Null texts are empty (fingerprint ''). Rows without an id are not returned; rows that repeat an id are ordered by
-    their text. A single document follows itself. Other columns are ignored.
+    their text. A single document follows itself. Other columns are ignored; an empty table gives an empty result.
 
     Documents are dealt by ranges of ids, so only the texts at the edges of a range (two a task) are handled apart.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "fingerprints")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    ordered = src.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
-    t = scratch.table(ordered.mapInArrow(_run, RESULT + ", part int, edge string, edge_text string"), "ranges")
-    ends = t.where("edge is not null").groupBy("part").agg(F.max(F.when(F.col("edge") == "head", F.col("edge_text"))).alias("head"), F.max(F.when(F.col("edge") == "tail", F.col("edge_text"))).alias("tail"), F.max("doc_id").alias("doc_id"))
-    # one row per task
-    follow = ends.selectExpr("doc_id", "tail", "coalesce(lead(head) over (order by part), first(head) over (order by part)) as following")
-    out = t.where("edge is null").drop("part", "edge", "edge_text").unionByName(follow.mapInArrow(_edges, RESULT))
-    return out.withColumnRenamed("doc_id", id_col)
+    return _prints(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), *_NAMES[1:7])
 
 
 # ---------------------------------------------------------------- near duplicates by fingerprint
 
 
-def near_pairs(prints: DataFrame, texts: DataFrame, most: float = 0.1, bands: int = 32, digits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b, distance) of documents whose edit distance is at most ``most`` of the longer text.
-
-    Banding: each band takes ``digits`` fixed digits of the fingerprint among those that texts of the shorter length
-    reach (bit sampling). A bucket links its members to its least one and to their neighbours in order of the fingerprint,
-    never all to all; equal texts are one member. levenshtein() verifies. High recall, not exact. Texts too short for a band's digits are banded by their whole
-    fingerprint; empty texts link with nothing.
+def _verify(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts (a, b, ta, tb) that are near, with their distance."""
+    for b in batches:
+        found = []
+        for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            limit = int(max(len(s), len(t)) * most)
+            if (d := edit_distance(s, t, limit)) <= limit:
+                found.append((x, y, d))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "distance"])
+
+
+def _near_links(prints: DataFrame, docs: DataFrame, most: float, block: int, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, distance) between distinct texts, each named by its least id, and the texts (t1, t2, rep, n)."""
+    one = scratch.table(prints.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("chars"), F.count("*").alias("n")), "texts")
+    keyed = prints.where("size(bands) > 0").select("t1", "t2", "doc_id", "n_chars", "bands")
+    keyed = keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.max("n_chars").alias("chars"), F.first("bands").alias("bands"))
+    keys = keyed.select("id", "chars", F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo")).where("n > 1")
+    members = scratch.table(keys.join(sizes, "key").distinct(), "members")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.table(pairs.distinct(), name)
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        # of rows that repeat an id the least text stands for it
+        texts = scratch.table(src.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "ends")
+        ta, tb = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        out = scratch.table(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").repartition(4 * shuffle_partitions(pairs.sparkSession), "a", "b").mapInArrow(partial(_verify, most=most), "a long, b long, distance long"), "near")
+        scratch.drop(pairs, texts)
+        scratch.release()
+        return out
+
+    star = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    first = check(star, "star")
+    comp = connected_components(first.select("a", "b"), scratch)
+    # what a bucket's least text hasn't joined is compared in full, block by block
+    inner = members.where("n > 2 and id <> lo").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", "chars", F.coalesce("component", "id").alias("c"), F.expr(f"cast((n + {block - 1}) div {block} as int)").alias("nb"))
+    inner = scratch.table(inner, "inner")
+    split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    placed = inner.join(split, "key").withColumn("blk", F.expr("cast(pmod(xxhash64(id, key), nb) as int)"))
+    spread = placed.select("key", "id", "chars", "c", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    spread = spread.select("key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "id", "chars", "c", "blk")
+    left = spread.where("blk = x").drop("blk")
+    right = spread.where("blk = y").select("key", "x", "y", F.col("id").alias("o"), F.col("chars").alias("oc"), F.col("c").alias("c2"))
+    pairs = left.join(right, ["key", "x", "y"]).where(f"c <> c2 and (x < y or id < o) and abs(chars - oc) <= floor(greatest(chars, oc) * {most}D)")
+    rest = check(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")), "rest")
+    scratch.drop(members, inner)
+    return first.unionByName(rest), one
+
+
+def near_pairs(docs: DataFrame, most: float = NEAR, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b, distance), a < b, of documents whose edit distance is at most ``most`` of the longer text.
+
+    Equal texts are one document, that of the least id. Links that are implied by others of a bucket may be left out, so it is
+    their components that are whole: texts are found near with high probability, not with certainty. Null and empty
+    texts link with nothing; rows without an id take no part; other columns are ignored.
     """
-    from pyspark.sql import Window as W
-
-    rng = np.random.default_rng(17)
-    same = texts.select(id_col, F.xxhash64(text_col).alias("same"))
-    one = prints.where("fingerprint <> ''").select(id_col, "fingerprint").join(same, id_col).groupBy("fingerprint", "same").agg(F.min(id_col).alias("id"))
-    keys = []
-    for j in range(bands):
-        at = sorted((rng.choice(SAMPLES, digits, replace=False) + 1).tolist())
-        keys.append(F.when(F.length("fingerprint") > SAMPLES, F.concat(F.lit(f"{j}:"), *[F.substring("fingerprint", p, 1) for p in at])).otherwise(F.concat(F.lit(f"{j}="), F.col("fingerprint"))))
-    rows = one.select("id", "fingerprint", F.explode(F.array(*keys)).alias("key"))
-    w = W.partitionBy("key").orderBy("fingerprint", "id")
-    linked = rows.select("id", F.lag("id").over(w).alias("before"), F.first("id").over(w).alias("first"))
-    pairs = linked.select("id", F.explode(F.array("before", "first")).alias("o")).where("o is not null and o <> id").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    ta, tb = (texts.select(F.col(id_col).alias(c), F.col(text_col).alias(f"t{c}")) for c in "ab")
-    full = pairs.join(ta, "a").join(tb, "b").withColumn("limit", F.floor(F.greatest(F.length("ta"), F.length("tb")) * most).cast("int"))
-    return full.withColumn("distance", F.levenshtein("ta", "tb")).where("distance <= limit").select("a", "b", "distance")
+    scratch = Scratch(docs.sparkSession, "near")
+    links, _ = _near_links(_prints(docs, id_col, text_col), docs, most, block, scratch, id_col, text_col)
+    return links.distinct()
 
 
-def op3_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def near_classes(docs: DataFrame, most: float = NEAR, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """fingerprint_documents() with near_id: the smallest id that can be reached by links of near or equal texts; empty texts have their own."""
+    scratch = Scratch(docs.sparkSession, "near")
+    prints = _prints(docs, id_col, text_col)
+    links, one = _near_links(prints, docs, most, block, scratch, id_col, text_col)
+    comp = connected_components(links.select("a", "b"), scratch)
+    table = one.where("chars > 0").join(comp, one.rep == comp.node, "left").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "n", F.coalesce("component", "rep").alias("near_id"))
+    table = scratch.table(table, "classes")
+    cols = [F.col("doc_id").alias(id_col), *_NAMES[1:7]]
+    found = join_weighted(prints.where("n_chars > 0"), table, [("t1", "k1"), ("t2", "k2")], "n").select(*cols, "near_id")
+    return found.unionByName(prints.where("n_chars = 0").select(*cols, F.col("doc_id").alias("near_id")))
 
 
+def op3_fingerprints(spark, sf_dir: str) -> DataFrame:
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

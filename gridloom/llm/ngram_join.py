@@ -336,10 +336,13 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def ngram_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity_pct: int = 80) -> DataFrame:
-    """docs without the documents that link to one of a smaller id: one row (the smallest id) of each component stays."""
-    out = ngram_jaccard_classes(docs, id_col, text_col, n, similarity_pct)
-    gone = out.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """docs without the documents that link to one of a smaller id: one row (the smallest id) of each component stays. Rows without
+    an id, and those with null or empty texts, stay; rows that repeat an id go or stay together. Columns keep their names,
+    whatever they are."""
+    out = ngram_jaccard_classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", n, similarity_pct)
+    gone = out.where("component_id <> id").select(F.col("id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own"))
+    return rows.join(gone, rows.own == gone.gone, "left_anti").select("row.*")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

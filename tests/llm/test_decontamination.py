@@ -36,23 +36,50 @@ def data(seed):
     return items, docs
 
 
-def test_retrieval_equals_bm25():
+def test_retrieval_equals_bm25(monkeypatch):
     items, docs = data(1)
-    ix = dc.Index(list(enumerate(items)))
-    for d in docs[:60]:
-        w = words_of(d)[:64]
-        t = np.unique(ix.lookup(dc.text_tokens(" ".join(w))))
-        want = bm25(items, w)
-        got = dict(ix.retrieve(t[t >= 0]))
-        assert set(got) == {i for i, s in enumerate(want) if s >= ix.least[i]}
-        assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
-    passages = np.full((60, 64), -1)
+    ix = dc.Index.of(list(enumerate(items)))
+    passages, want = np.full((60, 64), -1), set()
     for i, d in enumerate(docs[:60]):
-        x = ix.lookup(dc.text_tokens(" ".join(words_of(d)[:64])))
+        x = ix.lookup(dc.text_tokens(" ".join(w := words_of(d)[:64])))
         passages[i, : len(x)] = x
-    dense = sorted((a, b, round(c, 6)) for a, b, c in ix.score_passages(passages))
-    ix.dense = None
-    assert dense == sorted((a, b, round(c, 6)) for a, b, c in ix.score_passages(passages)) and dense
+        scores = bm25(items, w)
+        want |= {(i, ix.ids[k], round(scores[ix.ids[k]], 6)) for k in range(len(items)) if scores[ix.ids[k]] >= ix.least[k]}
+    for cells in (dc.CELLS, 1, 300):
+        monkeypatch.setattr(dc, "CELLS", max(cells, 64))
+        got = {(r, ix.ids[k], round(x, 6)) for r, k, x in ix.retrieve(passages)}
+        assert got == want and len(want) > 5
+
+
+def test_bounds_hold_for_thresholds_of_any_kind():
+    r = random.Random(7)
+    vocab = [f"w{i}" for i in range(80)]
+    items = [" ".join(r.choice(vocab[: r.choice([5, 20, 80])]) for _ in range(r.choice([1, 3, 30, 200]))) for _ in range(300)]
+    ix = dc.Index.of(list(enumerate(items)))
+    passages = np.array([[ix.lookup(dc.text_tokens(r.choice(vocab[: r.choice([8, 80])])))[0] for _ in range(64)] for _ in range(200)])
+    got = {(a, b): c for a, b, c in ix.retrieve(passages)}
+    for i, p in enumerate(passages):
+        t = np.unique(p[p >= 0])
+        some = np.isin(ix.term, t)
+        score = np.bincount(ix.item[some], ix.impact[some], minlength=300)
+        assert {k for k in range(300) if score[k] >= ix.least[k]} == {b for a, b in got if a == i}
+
+
+def test_split_indexes_score_alike(spark):
+    items, docs = data(3)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    it = spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string")
+    one, many = ({tuple(x)[:2]: tuple(x)[2:] for x in dc.benchmark_leaks(df, it, items_per_index=n).collect()} for n in (1000, 12))
+    assert one and set(one) == set(many) and all(np.allclose(one[k], many[k]) for k in one)
+
+
+def test_clashing_names_and_long_texts(spark):
+    items, docs = data(4)
+    long = " ".join(f"x{i}" for i in range(20_000)) + " " + items[5] + " " + " ".join(f"y{i}" for i in range(9_000))
+    df = spark.createDataFrame([(1, long, "b", 1), (2, docs[1], None, 2), (1, "clean", "c", 3), (None, items[5], "d", 4)], "doc_id long, text string, __bad string, id long")
+    it = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    out = dc.decontaminate(df, it)
+    assert out.columns == df.columns and {(r[0], r[3]) for r in out.collect()} == {(2, 2), (None, 4)}
 
 
 def test_leaks_are_found_and_clean_documents_left(spark):
@@ -69,12 +96,12 @@ def test_leaks_are_found_and_clean_documents_left(spark):
 
 
 def test_odd_items():
-    ix = dc.Index([(1, "one"), (2, "..."), (3, "a b c"), (4, "a b c")])
+    ix = dc.Index.of([(1, "one"), (2, "..."), (3, "a b c"), (4, "a b c")])
 
     def found(ix, t):
         h = dc.text_tokens(t)
         return {x[1] for x in ix.leaks(h, np.array([0, len(h)]))}
 
-    assert found(ix, "x one y") == {0}
-    assert found(ix, "a b c") == {2, 3}
-    assert found(dc.Index([]), "a") == found(ix, "") == set()
+    assert {ix.ids[k] for k in found(ix, "x one y")} == {1}
+    assert {ix.ids[k] for k in found(ix, "a b c")} == {3, 4}
+    assert found(dc.Index.of([]), "a") == found(ix, "") == set()

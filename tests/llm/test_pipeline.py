@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
-from gridloom.llm import toxicity
+import public_tokenizers
+
+from gridloom.llm import token_files, toxicity
 
 from .test_decontamination import words_of
 from .test_line_dedup import brute as brute_lines
@@ -67,8 +69,29 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert sum(got.get(i, "-") != after[i] for i in after) <= 2 and len(set(got) ^ want) <= 1
         else:
             assert len(set(got) ^ want) <= 1, name
-    out = corpus_pipeline.STAGES[-1][1](spark, frame, folder).toPandas()
-    assert set(out.doc_id) == set(got) and (out[out.bin_id.notna()].groupby("bin_id").n_words.sum() <= 2048).all()
-    assert sum(len((t or "").split()) for t in got.values()) == out.n_words.sum()
-    again = corpus_pipeline.run(spark, folder).toPandas()
-    assert sorted(map(str, again.values.tolist())) == sorted(map(str, out[again.columns].values.tolist()))
+    out = corpus_pipeline.STAGES[-1][1](spark, frame, folder).collect()
+    enc = token_files.Encoder(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    want = {i: [*ids, 2] for i, t in got.items() if (ids := enc.whole(t or "").tolist())}
+    tokens = {}
+    for b in out:
+        assert b.n_tokens <= 2048
+        for d, s, e in zip(b.doc_ids, b.starts, [*b.starts[1:], b.n_tokens], strict=True):
+            tokens.setdefault(d, []).extend(b.tokens[s:e])
+    assert tokens == want
+    assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, out))
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    folder = f"file://{tmp_path}/in"
+    tables(spark, folder)
+    frame = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, folder)
+        frame.write.parquet(p := f"file://{tmp_path}/empty-{_}")
+        frame = spark.read.parquet(p)
+    assert frame.count() == 0
+    names = ["id", "row", "removed", "own", "__gone", "__bad", "h1", "rep"]
+    frame = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *[f"doc_id as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns and out.count() > 100, name

@@ -1,11 +1,12 @@
 """From documents to packed training sequences: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of documents (the
-last one: a row per packed piece). STAGES are written as Parquet and read again one by one; run() does so in the shared folder.
+last one: a row per packed token sequence). STAGES are written as Parquet and read again one by one; run() does so in the shared folder.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from gridloom.llm.ngram_join import ngram_dedup
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.toxicity import drop_toxic, train
 
+#: The vocabulary of the sequences.
+TOKENIZER = "word_bpe_49k.json"
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -39,8 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in bins."""
-    return pack_documents(docs)
+    """Token sequences: one row per bin of pieces of documents."""
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("packing", packing)]

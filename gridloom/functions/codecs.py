@@ -172,7 +172,7 @@ def deflate_decode(data: bytes) -> bytes:
 NONE, CCITT_RLE, CCITT_G3, CCITT_G4, LZW, JPEG, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 2, 3, 4, 5, 7, 8, 32773, 32946
 _DECODERS: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: lzw_decode, DEFLATE: deflate_decode, OLD_DEFLATE: deflate_decode, PACKBITS: packbits_decode}
 _ENCODERS: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: lzw_encode, DEFLATE: deflate_encode, OLD_DEFLATE: deflate_encode, PACKBITS: packbits_encode}
-#: (bytes, width, rows, samples per pixel) -> samples; set by whoever has a JPEG decoder.
+#: (bytes, width, rows, samples per pixel) -> samples: decoders that go before jpeg.decode, in this process only.
 JPEG_HOOK: list[Callable] = []
 
 

@@ -49,6 +49,40 @@ def level_dims(width: int, height: int, least: int = 1, count: int | None = None
     return out
 
 
+def level_sizes(pages: DataFrame, count: int) -> DataFrame:
+    """The sizes of ``count`` levels of many pages (src, w, h): src, level, width, height, each half of the one before, 1 at least."""
+    level = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    half = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) / F.pow(F.lit(2), F.col("level")))).cast("long")
+    return pages.select("src", "w", "h", level.alias("level")).select("src", "level", half("w").alias("width"), half("h").alias("height"))
+
+
+def unpack_bits(px: DataFrame, value: str, bits: int = 8) -> DataFrame:
+    """A row per bit of a value, the highest first: i and bit."""
+    out = px.select("x", "y", value, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits - 1).cast("long"))).alias("i"))
+    return out.select("x", "y", "i", F.expr(f"cast(shiftright({value}, cast({bits - 1} - i as int)) & 1 as bigint)").alias("bit"))
+
+
+def pack_bits(px: DataFrame, value: str) -> DataFrame:
+    """The lowest bits of a row's values, eight to a byte, the first in the highest place: y, byte, v."""
+    return px.groupBy("y", F.expr("x div 8").alias("byte")).agg(F.sum(F.expr(f"shiftleft({value} & 1, cast(7 - x % 8 as int))")).alias("v"))
+
+
+def strip_rows(px: DataFrame, rows_per_strip: int) -> DataFrame:
+    """Strips of a raster: strip, first_row (the rows of all strips before it) and n. A row per strip is windowed, not the pixels."""
+    n = px.groupBy(F.expr(f"y div {rows_per_strip}").alias("strip")).agg(F.countDistinct("y").alias("n"))
+    return n.select("strip", (F.sum("n").over(W.orderBy("strip").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("first_row"), "n")
+
+
+def sample_at(px: DataFrame, x: int, y: int, channels: tuple = CHANNELS) -> DataFrame:
+    """The samples of one pixel."""
+    return px.where((F.col("x") == x) & (F.col("y") == y)).select(*channels)
+
+
+def drop_alpha(px: DataFrame, alpha: str = "a") -> DataFrame:
+    """Pixels without their opacity."""
+    return px.drop(alpha)
+
+
 def pyramid(px: DataFrame, width: int, height: int, count: int, base: bool = True, channels: tuple = CHANNELS) -> DataFrame:
     """Level, x, y and channels of all levels, each made from the one before it (as each rounds, not from the base)."""
     dims, level, out = level_dims(width, height, count=count), px.select("x", "y", *channels), []
@@ -159,5 +193,5 @@ def needs_fetch(wanted: DataFrame, *have: DataFrame, on: list[str]) -> DataFrame
 
 def one_per_width(pages: DataFrame) -> DataFrame:
     """Of pages (src, w, h) the first of each width, widest first."""
-    w = W.partitionBy("w").orderBy("src")
-    return pages.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    first = pages.groupBy("w").agg(F.min(F.struct("src", "h")).alias("first"))
+    return first.select("first.src", "w", "first.h").orderBy(F.desc("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,6 +93,27 @@ def band_rows(p: Rung, most: int = 16 * MIB) -> int:
     return min(rows, p.height)
 
 
+def band_rows_column(width: Column, height: Column, rows_per_strip: Column, spp: int, bits: int, most: int = 16 * MIB) -> Column:
+    """band_rows() for many pages."""
+    line = width * bytes_per_pixel(spp, bits)
+    strip = F.least(F.greatest(rows_per_strip, F.lit(1)), height)
+    rows = strip * F.floor(F.lit(most) / (strip * line))
+    rows = F.when(rows > 0, rows).otherwise(F.greatest(F.lit(1), F.floor(F.lit(most) / line)))
+    whole = F.floor(F.lit(WIDEST) / strip) * strip
+    return F.least(height, F.when(rows > WIDEST, F.when(whole > 0, whole).otherwise(WIDEST)).otherwise(rows)).cast("long")
+
+
+def downsample_columns(pairs: DataFrame, tile: int = 1) -> DataFrame:
+    """rung_downsample() for rows of a base (w, h) and a rung (rw, rh) with tiles of that size: rows of rungs that are reduced
+    in size, with across and down (null: no reduced copy)."""
+    across, down = F.col("w") / F.col("rw"), F.col("h") / F.col("rh")
+    power = F.pow(F.lit(2.0), F.floor(F.log2(across) + 0.5))
+    spare = [F.col("rw") - F.col("w") / power, F.col("rh") - F.col("h") / power]
+    fits = (spare[0] >= -1) & (spare[0] < tile) & (spare[1] >= -1) & (spare[1] < tile)
+    near = F.abs(across - down) <= 0.2 * across
+    return pairs.where("rw < w and rh <= h").withColumns({"across": F.when(fits, power).when(near, across), "down": F.when(fits, power).when(near, down)})
+
+
 def native_jpeg(p: Rung) -> bool:
     """Can its tiles go to a JPEG decoder as they are?"""
     return p.tile is not None and p.compression == 7 and p.planar != 2 and p.bits == 8 and p.photometric in {3: (2, 6), 1: (1,)}.get(p.spp, ())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIB = 1 << 20
@@ -22,6 +23,41 @@ def chunk_plan(width: int, height: int, natural: int, spp: int, bits: int, budge
     return [(y, min(h, height - y)) for y in range(0, height, h)]
 
 
+def chunk_bands(pages: DataFrame, natural: int, spp: int, bits: int, budget: int, least: int = 1) -> DataFrame:
+    """chunk_plan() for many pages (src, w, h): a row per band with y, height and n_bytes."""
+    if budget <= 0 or least <= 0:
+        raise ValueError("budget and least height must be positive")
+    fit = F.floor(F.lit(budget) / (F.col("w") * bytes_per_pixel(spp, bits)))
+    tall = F.least(F.col("h"), F.greatest(F.least(F.lit(natural), fit, F.col("h")), F.lit(least))).cast("long")
+    bands = pages.withColumn("tall", tall).select("src", "w", "h", "tall", F.explode(F.expr("sequence(0L, h - 1, tall)")).alias("y"))
+    height = F.least(F.col("tall"), F.col("h") - F.col("y"))
+    return bands.select("src", "y", height.alias("height"), (height * F.col("w") * bytes_per_pixel(spp, bits)).alias("n_bytes"))
+
+
+def workers_column(aggregate: int, band_bytes: Column, cpus: int) -> Column:
+    """workers() for many plans."""
+    return F.greatest(F.lit(1), F.least(F.floor(F.lit(aggregate) / band_bytes), F.lit(cpus))).cast("long")
+
+
+def memory(text: str | None = None) -> tuple[int | None, int | None]:
+    """(total, available) bytes of this machine as its kernel tells them (text: instead of /proc/meminfo); None where it doesn't. Never an error."""
+    try:
+        if text is None:
+            with open("/proc/meminfo") as f:
+                text = f.read()
+        kib = {k: int(v.split()[0]) for k, v in (x.split(":", 1) for x in text.splitlines() if ":" in x)}
+        return (kib["MemTotal"] << 10 if "MemTotal" in kib else None), (kib["MemAvailable"] << 10 if "MemAvailable" in kib else None)
+    except (OSError, ValueError, IndexError):
+        return None, None
+
+
+def progress(steps: DataFrame, by: str) -> DataFrame:
+    """Of each source's steps (by, step, units) the part of all units done after them, from 0 to 1."""
+    w = W.partitionBy(by)
+    done = F.sum("units").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return steps.select(by, "step", (done.cast("double") / F.sum("units").over(w)).alias("fraction"))
+
+
 def workers(aggregate: int, band: int, cpus: int) -> int:
     return max(1, min(aggregate // band, cpus))
 
@@ -52,8 +88,9 @@ def select_reduction(pixels_per_texel: Column, upsample: float = 1.3, most: int
 
 
 def reduced_extent(extent: Column, shift: Column | int) -> Column:
-    s = F.lit(shift) if isinstance(shift, int) else shift
-    return F.expr("0") + ((extent + F.pow(F.lit(2), s).cast("long") - 1) / F.pow(F.lit(2), s)).cast("long")
+    """ceil(extent / 2**shift)."""
+    size = F.lit(1 << shift) if isinstance(shift, int) else F.pow(F.lit(2), shift).cast("long")
+    return F.floor((extent + size - 1) / size).cast("long")
 
 
 def initial_view(width: Column, height: Column, view_w: float, view_h: float, dpr: float = 1.0, budget: int = 4_000_000) -> dict[str, Column]:

@@ -1,21 +1,17 @@
 """Tagged raster files: header, directories and tags to records, chunks to samples, and the writer; classic and 64-bit, either byte order.
 
-A Spark data source ("tagraster") reads pages, or decoded chunks: one input partition per chunk, and filters on chunk_y,
-chunk_x and page drop chunks before a byte of them is read.
+A Spark data source ("tagraster") reads and writes such files (raster_source).
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import RasterDataError
-from ..functions import codecs, fax, jpeg_parts
+from ..functions import codecs, fax, jpeg, jpeg_parts
 
 # fixed values: tag type code -> (bytes, struct code)
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
@@ -26,23 +22,41 @@ T4_OPTIONS, T6_OPTIONS, JPEG_TABLES = 292, 293, 347
 GEO_SCALE, GEO_TIEPOINTS, GEO_TRANSFORM, GEO_KEYS, GEO_DOUBLES, GEO_ASCII = 33550, 33922, 34264, 34735, 34736, 34737
 
 
+#: Bytes that a file is asked for at least, so that headers and directories come in a few requests.
+WINDOW = 64 << 10
+
+
+def open_file(path: str):
+    """A file to seek in: local, or of a store that Arrow knows by the path's scheme."""
+    if "://" not in path or path.startswith("file://"):
+        return open(path.removeprefix("file://"), "rb")
+    from pyarrow.fs import FileSystem
+
+    fs, inner = FileSystem.from_uri(path)
+    return fs.open_input_file(inner)
+
+
 class Bytes:
-    """Random access to bytes in memory, or to a file by seeking; out of range is a data error."""
+    """Random access to bytes in memory, to a path, or to a file object of one's own; out of range is a data error. Of files a
+    window of WINDOW bytes is kept."""
 
-    def __init__(self, data: bytes | None = None, path: str | None = None):
-        self.data, self.file = data, open(path, "rb") if path else None
+    def __init__(self, data: bytes | None = None, path: str | None = None, file=None):
+        self.data, self.file = data, file or (open_file(path) if path else None)
         self.reads: list[tuple[int, int]] = []
+        self.at, self.window = 0, b""
 
     def read(self, at: int, n: int) -> bytes:
         self.reads.append((at, n))
         if self.file:
-            self.file.seek(at)
-            out = self.file.read(n)
+            if not (self.at <= at and at + n <= self.at + len(self.window)):
+                self.file.seek(max(0, at))
+                self.at, self.window = at, self.file.read(max(n, WINDOW))
+            out = self.window[at - self.at : at - self.at + n] if at >= 0 else b""
         else:
             out = self.data[at : at + n] if at >= 0 else b""
         if len(out) < n:
             raise RasterDataError(f"{n} bytes at {at} are past the end")
-        return out
+        return bytes(out)
 
     def close(self) -> None:
         if self.file:
@@ -136,13 +150,18 @@ class Page:
         return bytes(t) if t else None
 
     def _jpeg(self, data: bytes, width: int, height: int) -> np.ndarray:
-        if not codecs.JPEG_HOOK:
-            raise RasterDataError("no JPEG decoder is registered")
-        out = np.asarray(codecs.JPEG_HOOK[-1](data, width, height, self.spp))
+        if codecs.JPEG_HOOK:
+            out = np.asarray(codecs.JPEG_HOOK[-1](data, width, height, self.spp))
+        else:
+            out = jpeg.decode(jpeg_parts.whole([data], rgb=self.one(PHOTOMETRIC) == 2), width, height, self.spp)
         if out.size != width * height * self.spp:
             raise RasterDataError(f"the JPEG decoder gave {out.size} samples for {width}x{height}")
         return out.reshape(height, width, self.spp)
 
+    def stitched(self, parts: list[bytes]) -> np.ndarray:
+        """Samples of the whole page from one stream that is cut over its chunks."""
+        return self._jpeg(jpeg_parts.whole(parts, self._tables()), self.width, self.height)
+
     def tile_jpeg(self, src: Bytes, tx: int, ty: int) -> bytes | None:
         """A tile as a stream of its own, for a decoder outside; None for a sparse tile."""
         if not self.tiled or int(self.one(COMPRESSION, 1)) != codecs.JPEG:
@@ -172,8 +191,7 @@ class Page:
             if x0 < x1 and y0 < y1 and n:
                 data = src.read(off, n)
                 if jpeg and not jpeg_parts.self_contained(data):  # one stream cut over the chunks
-                    stream = jpeg_parts.whole([src.read(c[6], c[7]) for c in chunks if c[7]], self._tables())
-                    return self._jpeg(stream, self.width, self.height)[y : y + h, x : x + w]
+                    return self.stitched([src.read(c[6], c[7]) for c in chunks if c[7]])[y : y + h, x : x + w]
                 part = self.decode_chunk(data, cw, ch)
                 out[y0 - y : y1 - y, x0 - x : x1 - x] = part[y0 - cy : y1 - cy, x0 - cx : x1 - cx]
         return out
@@ -278,6 +296,8 @@ class Spec:
     color_map: list[int] | None = None
     rows_per_strip: int | None = None
     tile: tuple[int, int] | None = None
+    #: More tags (id, type, values); a text as bytes with its end mark.
+    extra: tuple = ()
 
     def __post_init__(self):
         if self.samples.ndim != 3 or not self.samples.size:
@@ -288,6 +308,10 @@ class Spec:
             raise ValueError("strips or tiles, not both")
         if self.rows_per_strip is not None and self.rows_per_strip <= 0:
             raise ValueError("rows per strip must be positive")
+        if self.tile and min(self.tile) <= 0:
+            raise ValueError("tiles must have a size")
+        if self.predictor == 2 and self.bits not in (8, 16):
+            raise ValueError("differencing is of 8 or 16 bits a sample")
 
     def chunks(self, big_endian: bool) -> list[bytes]:
         h, w, _ = self.samples.shape
@@ -335,12 +359,13 @@ def write_file(specs: list[Spec], big: bool | None = None, big_endian: bool = Fa
             tags.append((PREDICTOR, 3, [s.predictor]))
         if s.color_map is not None:
             tags.append((COLOR_MAP, 3, s.color_map))
+        tags += s.extra
         sizes = [len(c) for c in chunks]
         if s.tile:
             tags += [(TILE_WIDTH, 4, [s.tile[0]]), (TILE_HEIGHT, 4, [s.tile[1]]), (TILE_OFFSETS, long_type, None), (TILE_COUNTS, long_type, sizes)]
         else:
             tags += [(ROWS_PER_STRIP, 4, [min(s.rows_per_strip or h, h)]), (STRIP_OFFSETS, long_type, None), (STRIP_COUNTS, long_type, sizes)]
-        tags.sort()
+        tags.sort(key=lambda t: t[0])
         begin = at
         at += (8 if wide else 2) + step * len(tags) + (8 if wide else 4)
         places = {}
@@ -361,7 +386,7 @@ def write_file(specs: list[Spec], big: bool | None = None, big_endian: bool = Fa
         p += struct.pack_into(order + ("Q" if wide else "H"), out, p, len(tags)) or (8 if wide else 2)
         for tag, kind, values in tags:
             v = offsets if values is None else values
-            raw = struct.pack(f"{order}{len(v)}{TYPES[kind][1]}", *v)
+            raw = bytes(v) if kind == 2 else struct.pack(f"{order}{len(v)}{TYPES[kind][1]}", *v)
             struct.pack_into(f"{order}HH{word}", out, p, tag, kind, len(v))
             if tag in places:
                 struct.pack_into(order + word, out, p + step - (8 if wide else 4), places[tag])
@@ -371,78 +396,3 @@ def write_file(specs: list[Spec], big: bool | None = None, big_endian: bool = Fa
             p += step
         struct.pack_into(order + word, out, p, layout[k + 1][0] if k + 1 < len(layout) else 0)
     return bytes(out) + b"".join(c for e in encoded for c in e)
-
-
-# ---------------------------------------------------------------- the data source
-
-
-@dataclass
-class Chunk(InputPartition):
-    path: str
-    page: int
-    no: int
-
-
-class TagRaster(DataSource):
-    """Options: path (a file that the executors see), view = pages (default) or pixels."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tagraster"
-
-    def schema(self) -> str:
-        if self.options.get("view", "pages") == "pages":
-            return "path string, page int, width long, height long, spp int, bits int, compression int, photometric int, tiled boolean, n_chunks int"
-        return "page int, x long, y long, samples array<long>"
-
-    def reader(self, schema):
-        return RasterReader(self.options)
-
-
-class RasterReader(DataSourceReader):
-    def __init__(self, options):
-        self.options, self.filters = options, []
-
-    def pushFilters(self, filters: list[Filter]):
-        """Comparisons with page, x and y choose chunks; all are given back, as a chunk holds more than asked for."""
-        self.filters = [f for f in filters if isinstance(f, (EqualTo, LessThan, LessThanOrEqual, GreaterThan, GreaterThanOrEqual)) and f.attribute[0] in ("page", "x", "y")]
-        yield from filters
-
-    def _may_hold(self, page: int, x: int, y: int, w: int, h: int) -> bool:
-        span = {"page": (page, page), "x": (x, x + w - 1), "y": (y, y + h - 1)}
-        for f in self.filters:
-            lo, hi = span[f.attribute[0]]
-            v = f.value
-            if isinstance(f, EqualTo) and not lo <= v <= hi or isinstance(f, LessThan) and lo >= v or isinstance(f, LessThanOrEqual) and lo > v or isinstance(f, GreaterThan) and hi <= v or isinstance(f, GreaterThanOrEqual) and hi < v:
-                return False
-        return True
-
-    def partitions(self):
-        path, view = self.options["path"].removeprefix("file://"), self.options.get("view", "pages")
-        if view == "pages":
-            return [Chunk(path, -1, 0)]
-        src = Bytes(path=path)
-        try:
-            out = [Chunk(path, p.index, k) for p in read_pages(src) for k, c in enumerate(p.chunks()) if self._may_hold(p.index, c[0], c[1], c[4], c[5])]
-        finally:
-            src.close()
-        return out or [Chunk(path, -2, 0)]
-
-    def read(self, part: Chunk) -> Iterator[tuple | pa.RecordBatch]:
-        if part.page == -2:
-            return
-        src = Bytes(path=part.path)
-        try:
-            pages = read_pages(src)
-            if part.page == -1:
-                for p in pages:
-                    yield part.path, p.index, p.width, p.height, p.spp, p.bits, int(p.one(COMPRESSION, 1)), int(p.one(PHOTOMETRIC, 1)), p.tiled, len(p.chunks())
-                return
-            p = pages[part.page]
-            cx, cy, cw, ch, vw, vh, off, n = p.chunks()[part.no]
-            px = p.decode_chunk(src.read(off, n) if n else b"", cw, ch)[:vh, :vw]
-            ys, xs = np.mgrid[cy : cy + vh, cx : cx + vw]
-            flat = px.reshape(-1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(vh * vw, p.index, np.int32)), pa.array(xs.ravel()), pa.array(ys.ravel()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, p.spp, dtype=np.int32)), pa.array(flat))], names=["page", "x", "y", "samples"])
-        finally:
-            src.close()

@@ -6,6 +6,7 @@ from gridloom.functions import codecs
 from gridloom.operators import raster
 from gridloom.plans import sizing
 from gridloom.sources import raster_file as rf
+from gridloom.sources import raster_source as rs
 from gridloom.streaming.viewport import TileCache
 
 
@@ -85,7 +86,7 @@ def test_data_source_prunes(spark, tmp_path):
     a = np.random.default_rng(3).integers(0, 256, (40, 30, 3)).astype(np.uint8)
     (tmp_path / "x.tif").write_bytes(rf.write_file([rf.Spec(a, photometric=2, compression=5, tile=(8, 8))]))
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(rf.TagRaster)
+    spark.dataSource.register(rs.TagRaster)
     load = lambda view: spark.read.format("tagraster").option("path", str(tmp_path / "x.tif")).option("view", view).load()
     assert load("pages").first().n_chunks == 20
     px = load("pixels").where("y >= 17 and y < 23 and x < 5")
@@ -100,3 +101,78 @@ def test_cache():
     assert c.put("c", 30) == ["b"] and list(c.items) == ["a", "c"]
     assert c.put("big", 500) == ["a", "c"] and c.size == 500
     assert c.put("big", 10, reduction=1) == [] and c.size == 500
+
+
+def load(spark, path, view):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(rs.TagRaster)
+    return spark.read.format("tagraster").option("path", str(path)).option("view", view).load()
+
+
+def test_views_of_many_files(spark, tmp_path):
+    r = np.random.default_rng(4)
+    pages = {}
+    for k in range(3):
+        a, b = r.integers(0, 256, (9 + k, 7, 3)).astype(np.uint8), r.integers(0, 60000, (4, 5, 1)).astype(np.uint16)
+        geo = ((rf.GEO_SCALE, 12, [2.0, 2.0, 0.0]), (rf.GEO_KEYS, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 1026, rf.GEO_ASCII, 7, 0]), (rf.GEO_ASCII, 2, b"WGS 84|\0"))
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / f"f{k}.tif").write_bytes(rf.write_file([rf.Spec(a, photometric=2, tile=(4, 4), compression=8), rf.Spec(b, bits=16, rows_per_strip=2, extra=geo)], big=k == 1, big_endian=k == 2))
+        pages[f"f{k}.tif", 0], pages[f"f{k}.tif", 1] = a, b
+    frames = {v: (load(spark, tmp_path, v), rs.scan_rasters(spark, f"file://{tmp_path}", v)) for v in rs.VIEWS}
+    for one, other in frames.values():
+        assert one.schema.simpleString() == other.schema.simpleString()
+        strip = lambda df: sorted(str([x if k else str(x).split("/")[-1] for k, x in enumerate(r)]) for r in df.collect())
+        assert strip(one) == strip(other)
+    one = {v: f[0] for v, f in frames.items()}
+    assert {(r.path.split("/")[-1], r.page): (r.height, r.width, r.spp) for r in one["pages"].collect()} == {k: a.shape for k, a in pages.items()}
+    assert {r.n_chunks for r in one["pages"].where("page = 1").collect()} == {2}
+    tags = {(r.page, r.tag): (r.ints, r.text) for r in one["tags"].where("path like '%f0.tif'").collect()}
+    assert tags[0, rf.WIDTH] == ([7], None) and tags[1, rf.GEO_ASCII] == (None, "WGS 84|")
+    geo = one["geo"].collect()
+    assert len(geo) == 3 and all(g.scale == [2.0, 2.0, 0.0] and g["keys"] == {1024: "1", 1026: "WGS 84"} and g.page == 1 for g in geo)
+    built = {k: np.zeros_like(a) for k, a in pages.items()}
+    for r in one["blocks"].collect():
+        built[r.path.split("/")[-1], r.page][r.y : r.y + r.height, r.x : r.x + r.width] = np.frombuffer(r.samples, "<u2" if r.bits == 16 else np.uint8).reshape(r.height, r.width, r.spp)
+    assert all(np.array_equal(built[k], pages[k]) for k in pages)
+    chunk = one["chunks"].where("page = 0 and x = 4 and y = 8 and path like '%f1.tif'").first()
+    assert chunk.n_bytes == len(chunk.data) and np.array_equal(np.frombuffer(codecs.decode(8, chunk.data), np.uint8).reshape(4, 4, 3)[:2, :3], pages["f1.tif", 0][8:, 4:])
+
+
+def test_chunks_share_partitions(spark, tmp_path):
+    a = np.zeros((2000, 40, 1), np.uint8)
+    (tmp_path / "x.tif").write_bytes(rf.write_file([rf.Spec(a, rows_per_strip=1)]))
+    assert load(spark, tmp_path / "x.tif", "blocks").rdd.getNumPartitions() == -(-2000 // rs.CHUNKS)
+    assert load(spark, tmp_path / "x.tif", "blocks").where("y < 3").count() == 3
+
+
+def test_sink_round_trip(spark, tmp_path):
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for f in range(3):
+        for page in range(2):
+            a = r.integers(0, 2**16, (6 + f, 5, 1)).astype("<u2")
+            want[f"n{f}.tif", page] = a
+            rows.append((f"n{f}.tif", page, 5, 6 + f, 1, 16, bytearray(a.tobytes())))
+    df = spark.createDataFrame(rows, "file string, page int, width int, height int, spp int, bits int, samples binary")
+    spark.dataSource.register(rs.TagRaster)
+    df.repartition("file").write.format("tagraster").options(path=str(tmp_path / "out"), compression="5", predictor="2", tile="4,4").mode("append").save()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["n0.tif", "n1.tif", "n2.tif"]
+    for (f, page), a in want.items():
+        src = rf.Bytes(path=str(tmp_path / "out" / f))
+        assert np.array_equal(rf.read_pages(src)[page].decode(src), a)
+        src.close()
+    with pytest.raises(Exception, match="several partitions"):
+        df.repartition(6).write.format("tagraster").options(path=str(tmp_path / "bad")).mode("append").save()
+    assert not list((tmp_path / "bad").iterdir())
+
+
+def test_specs_are_checked():
+    a = np.ones((2, 2, 1), np.uint8)
+    for bad in ({"tile": (0, 4)}, {"bits": 4, "predictor": 2}, {"rows_per_strip": 0}):
+        with pytest.raises(ValueError):
+            rf.Spec(a, **bad)
+
+
+def test_memory_probe():
+    assert sizing.memory("MemTotal: 10 kB\nMemAvailable: 4 kB\n") == (10240, 4096) and sizing.memory("junk") == (None, None)
+    assert sizing.memory()[0] is None or sizing.memory()[0] > 0

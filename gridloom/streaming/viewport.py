@@ -58,42 +58,60 @@ class TileCache:
         self.size += size
         return out
 
+    def restore(self, keys: list, sizes: list, reductions: list, versions: list) -> None:
+        """The entries of a cache that was kept, from the oldest to the latest."""
+        self.items = OrderedDict(zip(keys, zip(sizes, reductions, versions, strict=True), strict=True))
+        self.size = sum(sizes)
+
+    def press(self) -> list:
+        """Memory pressure: everything goes, and from now on the budget is half."""
+        out = list(self.items)
+        self.clear()
+        self.budget //= 2
+        return out
+
     def clear(self) -> None:
         self.items.clear()
         self.size = 0
 
 
+def _play(cache: TileCache, pdf: pd.DataFrame) -> tuple[int, int]:
+    """Hits and evictions of events in order; a tile that is there but blurrier or of another version than asked for is fetched again."""
+    hits = evicted = 0
+    for r in pdf.sort_values(["ts", "event_id"]).itertuples():
+        reduction, version = int(getattr(r, "reduction", 0)), int(getattr(r, "version", 0))
+        held = cache.get(r.tile)
+        if held is not None and held[1] <= reduction and held[2] == version:
+            hits += 1
+        else:
+            evicted += len(cache.put(r.tile, int(r.size), reduction, version))
+    return hits, evicted
+
+
 def _fold(key, frames: Iterator[pd.DataFrame], state, budget: int) -> Iterator[pd.DataFrame]:
     cache = TileCache(budget)
     if state.exists:
-        for k, size in zip(*state.get, strict=True):
-            cache.put(k, size)
+        cache.restore(*state.get)
     hits = evicted = n = 0
     for pdf in frames:
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-            n += 1
-            if cache.get(r.tile) is not None:
-                hits += 1
-            else:
-                evicted += len(cache.put(r.tile, int(r.size)))
-    state.update((list(cache.items), [v[0] for v in cache.items.values()]))
+        n += len(pdf)
+        h, e = _play(cache, pdf)
+        hits, evicted = hits + h, evicted + e
+    state.update(tuple(map(list, ([*cache.items], *zip(*cache.items.values(), strict=True)))) if cache.items else ([], [], [], []))
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "hits": [hits], "evicted": [evicted], "cached_bytes": [cache.size]})
 
 
 def cache_stream(events: DataFrame, budget: int) -> DataFrame:
-    """A cache per user over a stream of (user_id, ts, event_id, tile, size): hits and evictions of each micro-batch."""
+    """A cache per user over a stream of (user_id, ts, event_id, tile, size, and reduction and version if there are any): hits and evictions of
+    each micro-batch. The state keeps each tile's size, reduction and version in order of use."""
     from functools import partial
 
-    return events.groupBy("user_id").applyInPandasWithState(partial(_fold, budget=budget), "user_id long, n long, hits long, evicted long, cached_bytes long", "tiles array<string>, sizes array<long>", "update", "NoTimeout")
+    return events.groupBy("user_id").applyInPandasWithState(partial(_fold, budget=budget), "user_id long, n long, hits long, evicted long, cached_bytes long", "tiles array<string>, sizes array<long>, reductions array<long>, versions array<long>", "update", "NoTimeout")
 
 
 def _fold_batch(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    cache, hits, evicted = TileCache(budget), 0, 0
-    for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-        if cache.get(r.tile) is not None:
-            hits += 1
-        else:
-            evicted += len(cache.put(r.tile, int(r.size)))
+    cache = TileCache(budget)
+    hits, evicted = _play(cache, pdf)
     return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "n": [len(pdf)], "hits": [hits], "evicted": [evicted], "cached_bytes": [cache.size]})
 
 

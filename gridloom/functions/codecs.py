@@ -70,42 +70,33 @@ def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widths one code early."""
     if not data:
         return b""
-    acc = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = (acc << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    def width_for(known: int) -> int:
-        return 9 if known < 512 else 10 if known < 1024 else 11 if known < 2048 else 12
-
-    table: dict[tuple[int, int], int] = {}
-    known = END + 1
-    put(CLEAR, 9)
-    prefix = data[0]
-    for byte in data[1:]:
-        nxt = table.get((prefix, byte))
-        if nxt is not None:
-            prefix = nxt
+    out, table, known, width, prefix = bytearray(), {}, END + 1, 9, data[0]
+    acc, bits, get = CLEAR, 9, table.get
+    for byte in memoryview(data)[1:]:
+        key = prefix << 8 | byte
+        longer = get(key)
+        if longer is not None:
+            prefix = longer
             continue
-        put(prefix, width_for(known))
-        table[prefix, byte] = known
+        acc, bits = acc << width | prefix, bits + width
+        table[key] = known
         known += 1
+        if known in (512, 1024, 2048):
+            width += 1
         if known >= LIMIT - 2:
-            put(CLEAR, width_for(known))
+            acc, bits = acc << width | CLEAR, bits + width
             table.clear()
-            known = END + 1
+            known, width = END + 1, 9
+        if bits > 1024:  # whole bytes go out many at a time
+            rest = bits & 7
+            out += (acc >> rest).to_bytes(bits >> 3, "big")
+            acc, bits = acc & (1 << rest) - 1, rest
         prefix = byte
-    put(prefix, width_for(known))
-    put(END, width_for(known + 1))
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    acc, bits = acc << width | prefix, bits + width
+    width += known + 1 in (512, 1024, 2048)
+    acc, bits = acc << width | END, bits + width
+    rest = -bits & 7
+    return bytes(out + (acc << rest).to_bytes(bits + rest >> 3, "big"))
 
 
 def lzw_decode(data: bytes) -> bytes:

@@ -7,11 +7,10 @@ id and line number. Lines of under MIN_CHARS characters are duplicates only of l
 
 All shingles are generated, hashed and reduced to the minima where the lines are read, grouped by the line's hash: one shuffle of
 a few numbers a line finds equal lines and completes signatures. Texts of candidates are picked out by a blocked Bloom
-filter whose size follows their number. Each candidate gets a bitmap of its shingles' hashes, at least four bits a shingle: the bits in which
-two bitmaps differ are never more than the shingles in which the sets differ, so most pairs that can't link are told without
-their texts, and none that does link is lost. A bucket is compared in full, in two rounds: all its lines with its
-least and its greatest one, then, block by block, all pairs that these links have not joined yet. A task that compares two
-blocks emits only links that join parts not yet joined.
+filter whose size follows their number. A bucket is compared in full, in two rounds: all its lines with its least one, then, block by block, all pairs that these links have not joined yet. For the second round each line gets a bitmap of its shingles'
+hashes, at least four bits a shingle: the bits in which two bitmaps differ are never more than the shingles in which the
+sets differ, so most pairs that can't link are told without their texts, and none that does link is lost. A task that
+compares two blocks emits only links that join parts not yet joined.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, join_weighted, shuffle_partitions
-from .url_filter import bloom_blocks, passing
+from .url_filter import among
 
 SHINGLE, SIMILARITY_PCT = 8, 80
 #: A signature has nine minima, three by three; the twelve lines of the affine plane of order 3 are its bands. Two sets whose minima
@@ -30,8 +29,6 @@ ROWS = 3
 PLANE = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
 #: Lines shorter than this (in the compared form) have no near copies, only exact ones: they carry too little to tell.
 MIN_CHARS = 24
-#: The filter of candidates has 2**FILTER_BITS blocks of 72 bytes at most (19 MB); for more candidates there is none, but a semi-join.
-FILTER_BITS = 18
 #: Buckets with more lines, or more characters, are cut into blocks of about so many, compared block by block.
 BLOCK, BLOCK_CHARS = 512, 4 << 20
 
@@ -96,23 +93,23 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = scratch.table(shared, "buckets")
     scratch.release()
     two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    large = shared.where("n > 2").select("key", "n", "lo", "hi")
-    more = scratch.table(_among(keys, large.select("key"), "key").join(large, "key"), "members")
-    star = more.select("h1", F.explode(F.array("lo", "hi")).alias("o")).where("o <> h1").select(F.least("h1", "o").alias("a"), F.greatest("h1", "o").alias("b"))
+    large = shared.where("n > 2").select("key", "n", "lo")
+    more = scratch.table(among(keys, large.select("key"), "key").join(large, "key"), "members")
+    bands_of = signed.where("h1 & 1 = 1").select(F.col("h1").alias("own"), F.array(*band).alias("keys"))
+    star = more.where("h1 <> lo").select(F.col("lo").alias("a"), F.col("h1").alias("b"))
     pairs = scratch.table(two.unionByName(star).distinct(), "pairs")
     wanted = scratch.table(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "wanted")
     scratch.release()
 
     # the lines of candidates and of classes of several lines, with those that slip through the filter
     classes = signed.where("n_lines > 1").select("h1").union(wanted).distinct()
-    picked = scratch.table(_among(keyed.withColumn("h2", F.xxhash64("norm", F.lit(2))), classes, "h1"), "picked")
+    picked = scratch.table(among(keyed.withColumn("h2", F.xxhash64("norm", F.lit(2))), classes, "h1"), "picked")
     # one text for a hash: of lines that differ and share one, only those with the least second hash are its class
     one = picked.groupBy("h1").agg(F.min(F.struct("h2", "norm")).alias("x")).select("h1", "x.h2", "x.norm")
     texts = scratch.table(one.join(wanted, "h1", "left_semi"), "texts")
-    sketches = scratch.table(_sketches(texts), "sketches")
 
-    first = _links(pairs, texts, sketches, similarity_pct, scratch)
-    rest = _apart(more, connected_components(first, scratch), texts, sketches, similarity_pct, block, scratch)
+    first = _links(pairs, texts, similarity_pct, scratch)
+    rest = _apart(more, connected_components(first, scratch), texts, bands_of, similarity_pct, block, scratch)
     links = scratch.table(first.unionByName(rest), "links")
 
     # the first line of each class, then of each component; then every other line of theirs goes
@@ -125,20 +122,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = scratch.table(least.join(first_of, "c").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "n_lines", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")), "classes")
     found = join_weighted(picked.select("doc_id", "line_no", "h1", "h2"), table, [("h1", "k1"), ("h2", "k2")], "n_lines")
     out = scratch.table(found.select("doc_id", "line_no", "keep_doc", "keep_line"), "found")
-    scratch.drop(signed, shared, more, pairs, wanted, picked, texts, sketches, first, rest, links, table)
+    scratch.drop(signed, shared, more, pairs, wanted, picked, texts, first, rest, links, table)
     scratch.release()
     return out
 
 
-def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in keys (distinct), with some others where a filter is enough to thin them out."""
-    n = keys.count()
-    bits = max(6, (n // 16).bit_length())  # 16 keys a block, 2**-16 false hits or so
-    if bits > FILTER_BITS:
-        return rows.join(keys, key, "left_semi")
-    return passing(rows, key, bloom_blocks(keys, key, bits), bits)
-
-
 def _sketches(texts: DataFrame) -> DataFrame:
     """h1, n (size of the set, repeats counted), lev and sk: a bit for each shingle's hash among 64 * 2**lev >= 4 n. Texts are dealt by h1
     once; no later step shuffles."""
@@ -165,53 +153,49 @@ def _alike(a: str, b: str, pct: int) -> str:
     return f"transform(array(struct({_set_sql(a)} as u, {_set_sql(b)} as v)), z -> {100 + pct} * size(array_intersect(z.u, z.v)) >= {pct} * (size(z.u) + size(z.v)))[0]"
 
 
-def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, sketches: DataFrame, pct: int, block: int, scratch: Scratch) -> DataFrame:
-    """Links a, b between lines of a bucket in different components; those of its least or greatest line are known before.
-    members: key, h1 and the bucket's n, lo and hi."""
+def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, bands_of: DataFrame, pct: int, block: int, scratch: Scratch) -> DataFrame:
+    """Links a, b between lines of a bucket in different components; those of its least line are known before.
+    members: key, h1 and the bucket's n and lo. bands_of: the keys of all bands of a class; two lines are compared in the
+    first bucket that they share."""
     spark = members.sparkSession
-    inner = members.where("n > 3 and h1 <> lo and h1 <> hi")
+    inner = members.where("h1 <> lo")
     inner = scratch.table(inner.join(comp, inner.h1 == comp.node, "left").select("key", "h1", F.coalesce("component", "h1").alias("c")), "inner")
     split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    full = inner.join(split, "key").join(sketches, "h1").join(texts.select("h1", "norm"), "h1")
-    full = scratch.table(full.select("key", "h1", "c", "n", "lev", "sk", "norm"), "apart")
+    left = scratch.table(inner.join(split, "key"), "left")
+    own = scratch.table(texts.join(left.select("h1").distinct(), "h1", "left_semi"), "own")
+    sketches = scratch.table(_sketches(own).join(own.select("h1", "norm"), "h1").join(bands_of, F.col("h1") == F.col("own")).drop("own"), "sketches")
+    full = scratch.table(left.join(sketches, "h1").select("key", "h1", "c", "n", "lev", "sk", "norm", "keys"), "apart")
     blocks = full.groupBy("key").agg(F.expr(f"cast(greatest(ceil(count(*) / {block}), ceil(sum(length(norm)) / {BLOCK_CHARS})) as int)").alias("nb"))
     placed = full.join(blocks, "key").withColumn("blk", F.expr("cast(pmod(xxhash64(h1, key), nb) as int)"))
-    placed = placed.groupBy("key", "nb", "blk").agg(F.collect_list(F.struct("h1", "c", "n", "lev", "sk", "norm")).alias("m"))
+    earlier = F.expr("slice(keys, 1, cast(array_position(keys, key) as int) - 1)").alias("before")
+    placed = placed.groupBy("key", "nb", "blk").agg(F.collect_list(F.struct("h1", "c", "n", "lev", "sk", "norm", earlier)).alias("m"))
     placed = scratch.table(placed, "blocks")
     parts = 4 * shuffle_partitions(spark)
-    left = placed.select("key", F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("y"), F.col("m").alias("l"))
-    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
-    both = left.repartition(parts, "key", "x", "y").join(right.repartition(parts, "key", "x", "y"), ["key", "x", "y"])
+    left_side = placed.select("key", F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("y"), F.col("m").alias("l"))
+    right_side = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
+    both = left_side.repartition(parts, "key", "x", "y").join(right_side.repartition(parts, "key", "x", "y"), ["key", "x", "y"])
     label = "if(acc.lab[s.j] = z, acc.lab[s.i], z)"
-    some = f"flatten(transform(l, (p, i) -> transform(filter(transform(r, (q, j) -> named_struct('q', q, 'j', j)), t -> p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and {_may_link('p', 't.q', pct)}), t -> named_struct('p', p, 'q', t.q, 'i', i, 'j', if(x < y, size(l), 0) + t.j))))"
+    some = f"flatten(transform(l, (p, i) -> transform(filter(transform(r, (q, j) -> named_struct('q', q, 'j', j)), t -> p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and {_may_link('p', 't.q', pct)} and not arrays_overlap(p.before, t.q.before)), t -> named_struct('p', p, 'q', t.q, 'i', i, 'j', if(x < y, size(l), 0) + t.j))))"
     lab = "concat(transform(l, p -> p.c), if(x < y, transform(r, q -> q.c), cast(array() as array<bigint>)))"
     links = f"""aggregate({some}, named_struct('lab', {lab}, 'links', cast(array() as array<struct<a: bigint, b: bigint>>)),
         (acc, s) -> if(acc.lab[s.i] = acc.lab[s.j] or not {_alike('s.p.norm', 's.q.norm', pct)}, acc,
             named_struct('lab', transform(acc.lab, z -> {label}), 'links', array_append(acc.links, named_struct('a', least(s.p.h1, s.q.h1), 'b', greatest(s.p.h1, s.q.h1))))),
         acc -> acc.links)"""
-    out = scratch.table(both.select(F.explode(F.expr(links)).alias("e")).select("e.a", "e.b").distinct(), "rest")
-    scratch.drop(inner, full, placed)
+    out = scratch.table(both.select(F.explode_outer(F.expr(links)).alias("e")).where("e is not null").select("e.a", "e.b").distinct(), "rest")
+    scratch.drop(inner, left, own, sketches, full, placed)
     return out
 
 
-def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose lines reach the similarity, by the hashes of all their shingles."""
-    sa, sb = (sketches.select(F.col("h1").alias(c), F.struct("n", "lev", "sk").alias(f"s{c}")) for c in "ab")
-    near = scratch.table(pairs.join(sa, "a").join(sb, "b").where(_may_link("sa", "sb", pct)).select("a", "b"), "near")
-    both = near.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
-    dealt = both.repartition(shuffle_partitions(pairs.sparkSession), "a", "b")  # what follows needs no other shuffle
-    sides = dealt.select("a", "b", F.explode_outer(F.array(F.struct(F.lit(1).alias("side"), F.col("ta").alias("norm")), F.struct(F.lit(2).alias("side"), F.col("tb").alias("norm")))).alias("s"))
-    found = shingle_hashes(sides.select("a", "b", "s.side", "s.norm"), ["a", "b", "side"]).groupBy("a", "b", "h").agg(F.bit_or("side").alias("side"))
-    shared = found.groupBy("a", "b").agg(F.count_if(F.col("side") == 3).alias("shared"), F.count("*").alias("union"))
-    out = scratch.table(shared.where(f"100 * shared >= {pct} * union").select("a", "b"), "links")
-    scratch.drop(near)
-    return out
+def _links(pairs: DataFrame, texts: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose lines reach the similarity, by the hashes of all their shingles, within their rows."""
+    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("tb")), "b")
+    return scratch.table(both.where(_alike("ta", "tb", pct)).select("a", "b"), "links")
 
 
 def _set_sql(line: str, k: int = SHINGLE) -> str:
     """The hashes of the distinct shingles of a line, within its row."""
-    last = f"greatest(0, cast(octet_length(wide) div 2 as int) - {k})"
-    return f"transform(array(encode({line}, 'UTF-16BE')), wide -> array_distinct(transform(sequence(0, {last}), i -> xxhash64(substring(wide, 2 * i + 1, {2 * k})))))[0]"
+    last = f"greatest(1, octet_length(wide) - {2 * k - 1})"  # as few operations as can be in the inner lambda: it is interpreted
+    return f"transform(array(encode({line}, 'UTF-16BE')), wide -> array_distinct(transform(sequence(1, {last}, 2), i -> xxhash64(substring(wide, i, {2 * k})))))[0]"
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **options) -> DataFrame:

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks of the filter (8 words of 64 bits each): its size, 2**BLOCK_BITS * 72 bytes, doesn't grow with the list.
-BLOCK_BITS, HASHES = 12, 6
+#: The filter has a block (of HASHES words of 64 bits) for 16 entries, 2**BLOCK_BITS blocks of 72 bytes at most (19 MB); a longer list is
+#: joined without a filter.
+BLOCK_BITS, HASHES = 18, 6
 
 # fixed values: the rules of the query
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -40,23 +41,34 @@ def _blocks(key: str, bits: int) -> tuple:
     return F.shiftrightunsigned(h, 64 - bits).cast("int"), [(j, F.shiftrightunsigned(g, 6 * j).bitwiseAND(F.lit(63)).cast("int")) for j in range(HASHES)]
 
 
-def bloom_blocks(entries: DataFrame, key: str, bits: int = BLOCK_BITS) -> DataFrame:
+def filter_size(n: int) -> int | None:
+    """Blocks of a filter of n keys as a power of two; None where they would be too many to broadcast."""
+    bits = max(6, (n // 16).bit_length())
+    return bits if bits <= BLOCK_BITS else None
+
+
+def bloom_blocks(entries: DataFrame, key: str, bits: int) -> DataFrame:
     """The filter: a row per block that has a bit (at most 2**bits), words w0, w1, ..."""
     block, at = _blocks(key, bits)
     words = [F.bit_or(F.expr("shiftleft(1L, b%d)" % j)).alias(f"w{j}") for j, _ in at]
     return entries.select(block.alias("block"), *[b.alias(f"b{j}") for j, b in at]).groupBy("block").agg(*words)
 
 
-def passing(keys: DataFrame, key: str, blocks: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """Rows whose key may be listed."""
+def passing(keys: DataFrame, key: str, blocks: DataFrame, bits: int) -> DataFrame:
+    """Rows whose key may be listed; their columns may have any names."""
     block, at = _blocks(key, bits)
-    probe = keys.withColumn("__block", block)
+    probe = keys.select(F.struct(*[F.col(f"`{c}`") for c in keys.columns]).alias("row"), block.alias("own"), *[b.alias(f"b{j}") for j, b in at])
     hit = F.lit(True)
-    for j, b in at:
-        hit = hit & (F.expr(f"shiftrightunsigned(w{j}, __b{j}) & 1") == 1)
-        probe = probe.withColumn(f"__b{j}", b)
-    small = F.broadcast(blocks.withColumnRenamed("block", "__block"))  # at most 2**bits rows of 72 bytes
-    return probe.join(small, "__block").where(hit).select(*keys.columns)
+    for j, _ in at:
+        hit = hit & (F.expr(f"shiftrightunsigned(w{j}, b{j}) & 1") == 1)
+    small = F.broadcast(blocks)  # at most 2**bits rows of 72 bytes
+    return probe.join(small, probe.own == small.block).where(hit).select("row.*")
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in keys (distinct), with a few others where a filter is enough to thin them out."""
+    bits = filter_size(keys.count())
+    return rows.join(keys, key, "left_semi") if bits is None else passing(rows, key, bloom_blocks(keys, key, bits), bits)
 
 
 def url_verdicts(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -69,7 +81,6 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", u
     rules = listed.where("host is not null and path is not null and verdict is not null").groupBy(F.lower("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.min("verdict").alias("r_verdict"))
     rules = rules.withColumn("rule", F.concat("r_host", "r_path")).withColumn("key", F.concat_ws("\x00", "r_host", "r_path"))
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())  # at most one per length of a url path
-    blocks = bloom_blocks(rules, "key")
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     urls = src.withColumn("host", host_of("url")).withColumn("path", path_of("url")).select("page_id", "host", "path")
     # every distinct host and path is looked up once, however many pages a host has
@@ -78,10 +89,12 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", u
     keys = places.select("host", "path", "labels", suffixes.alias("from")).select("host", "path", F.expr("array_join(slice(labels, from, size(labels) - from + 1), '.')").alias("suffix"))
     keys = keys.select("host", "path", "suffix", F.explode(F.array(*[F.lit(x) for x in lengths]) if lengths else F.expr("cast(array() as array<int>)")).alias("k")).where("length(path) >= k")
     keys = keys.select("host", "path", F.expr("concat_ws('\\u0000', suffix, substring(path, 1, k))").alias("key"))
-    hits = passing(keys, "key", blocks).distinct()
+    hits = among(keys, rules.select("key"), "key").distinct()
     found = hits.join(rules.select("key", "rule", "r_verdict"), "key").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "r_verdict")).alias("best"))
-    out = urls.join(found.withColumnsRenamed({"host": "f_host", "path": "f_path"}), (F.col("host") == F.col("f_host")) & (F.col("path") == F.col("f_path")), "left")
-    return out.select(F.col("page_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(otherwise)).alias("verdict"))
+    # urls without a host fit nothing: they would all meet under one key
+    odd = urls.where("host = ''").withColumn("best", F.lit(None).cast(found.schema["best"].dataType))
+    out = urls.where("host <> ''").join(found.withColumnsRenamed({"host": "f_host", "path": "f_path"}), (F.col("host") == F.col("f_host")) & (F.col("path") == F.col("f_path")), "left")
+    return out.select("page_id", "host", "path", "best").unionByName(odd).select(F.col("page_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(otherwise)).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

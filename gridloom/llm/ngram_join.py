@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, Scratch, Sketch, connected_components, id_filter, may_hold, merged_sketch, shingles, shuffle_partitions, signature, slices, text_buffers, words
+from .common import SKETCH_BITS, Scratch, Sketch, connected_components, id_filter, join_weighted, may_hold, merged_sketch, shingles, shuffle_partitions, signature, slices, text_buffers, words
 
 #: Sets that share a prefix n-gram are paired one by one up to this many, beyond it in blocks.
 HOT = 128
@@ -289,7 +289,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     both = scratch.table(src.mapInArrow(partial(_profile, n=n), "id long, n long, h1 long, h2 long, block int, z binary"), "profile")
     profile = both.where("id is not null").select("id", "n", "h1", "h2")
     classes = spark.sparkContext.broadcast(order_classes(merged_sketch(both.where("block is not null").select("block", "z"))))
-    reps = scratch.table(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "reps")
+    reps = scratch.table(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
 
     dealt = src.mapInArrow(partial(_prefixes, n=n, pct=similarity_pct, classes=classes, parts=4 * parts), "part int, k int, z binary")
     found = dealt.repartition(4 * parts, "part").mapInArrow(partial(_candidates, pct=similarity_pct, limit=hot_bucket), "a long, b long, hot boolean, na long, nb long, k long")
@@ -309,7 +309,8 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sizes = mapped.where("hot").selectExpr("stack(2, x, nx, h_x, y, ny, h_y) as (id, n, sig)").distinct()
     groups = connected_components(star, scratch).withColumnsRenamed({"node": "id", "component": "grp"})
     members = scratch.table(groups.join(sizes, "id"), "members")
-    blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"))
+    # so many blocks that one has ``block`` n-grams at most, and that a task's share of a group of N sets is about sqrt(N) of them
+    blocks = members.groupBy("grp").agg(F.expr(f"cast(ceil(greatest(sum(n) / {block}, sqrt(count(*)) / 4)) as int)").alias("nb"))
     placed = members.join(blocks, "grp").select("id", "sig", "grp", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk"))
     placed = scratch.table(placed, "placed")
 
@@ -330,9 +331,11 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     comp = scratch.table(connected_components(linked, scratch), "components")
     scratch.drop(found, mapped, members, placed, segments, linked)
-    final = reps.join(comp, reps.rep == comp.node, "left").select("h1", "h2", "n", "rep", F.coalesce("component", "rep").alias("component_id"))
+    final = reps.join(comp, reps.rep == comp.node, "left").select("h1", "h2", "n", "copies", "rep", F.coalesce("component", "rep").alias("component_id"))
     empty = profile.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("rep"), F.col("id").alias("component_id"))
-    return profile.where("n > 0").join(final, ["h1", "h2", "n"]).select("id", F.col("n").alias("n_shingles"), "rep", "component_id").unionByName(empty).withColumnRenamed("id", id_col)
+    final = scratch.table(final.withColumnsRenamed({"h1": "k1", "h2": "k2", "n": "k"}), "final")
+    out = join_weighted(profile.where("n > 0"), final, [("h1", "k1"), ("h2", "k2"), ("n", "k")], "copies").select("id", F.col("n").alias("n_shingles"), "rep", "component_id")
+    return out.unionByName(empty).withColumnRenamed("id", id_col)
 
 
 def ngram_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity_pct: int = 80) -> DataFrame:

@@ -141,6 +141,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _phrases(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
+    """Documents of each label that have a pair of neighbouring words one of which begins with an entry."""
+    seen: dict[str, list[int]] = {}
+    entries = frozenset(lexicon.value)
+    sizes = sorted({len(w) for w in entries})
+    for b in batches:
+        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ws = words_of(t)
+            hit = [any(w[:k] in entries for k in sizes) for w in ws]
+            for p in {f"{a} {c}" for a, c, x, z in zip(ws, ws[1:], hit, hit[1:], strict=False) if x or z}:
+                seen.setdefault(p, [0, 0])[y] += 1
+    if seen:
+        yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.string()), "pos": pa.array([v[1] for v in seen.values()], pa.int64()), "neg": pa.array([v[0] for v in seen.values()], pa.int64())})
+
+
 def choose(counts: list[tuple[str, int, int]], pos: int, neg: int, most: int = LEXICON) -> dict[str, float]:
     """Entries by the significance of their log odds; of entries that begin with one another the more significant one."""
     scored = []
@@ -181,9 +196,10 @@ def _features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([v[j] for v in f], pa.float64()) for j in range(3)] + [b.column(1)], names=["x0", "x1", "x2", "y"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, exceptions: tuple = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from labelled rows that are not held out: at most about ``most_rows``, chosen by a hash of the id, equal texts once.
-    Without a row of either label the model has an empty lexicon."""
+    Without a row of either label the model has an empty lexicon. To the given exceptions come phrases of two words, one of which begins with
+    an entry, that three or more harmless rows have and that are not a sign of the others (LEXICON at most)."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("y")).where("l_id is not null and y in (0, 1)").where("crc32(cast(cast(l_id as string) as binary)) % 5 <> 0")
     known = known.groupBy("l_id").agg(F.max("y").alias("y"))
@@ -201,7 +217,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, id_co
         counted = counted.where(f"pos >= 3 and pos / {pos} > 4 * neg / {neg}")
         # the most significant ones only come to the driver
         top = counted.orderBy((F.col("pos") / pos - F.col("neg") / neg).desc(), "w").limit(20 * LEXICON).collect()
-        model = Model(choose([(r.w, r.pos, r.neg) for r in top], pos, neg))
+        lexicon = choose([(r.w, r.pos, r.neg) for r in top], pos, neg)
+        pairs = rows.mapInArrow(partial(_phrases, lexicon=spark.sparkContext.broadcast(list(lexicon))), "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        harmless = pairs.where(f"neg >= 3 and neg / {neg} > 2 * pos / {pos}").orderBy(F.desc("neg"), "w").limit(LEXICON).collect()
+        model = Model(lexicon, exceptions=(*exceptions, *(r.w for r in harmless)))
         f = np.array([tuple(r) for r in rows.mapInArrow(partial(_features, model=spark.sparkContext.broadcast(model)), "x0 double, x1 double, x2 double, y int").collect()])
         f = f[np.lexsort(f.T)]
         model.coef = tuple(logistic(f[:, :3], f[:, 3]).tolist())
@@ -232,7 +251,8 @@ def _keep(batches: Iterator[pa.RecordBatch], model, at: int, threshold: float) -
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs without the documents that score at or above the threshold; all columns stay as they are."""
+    """docs without the documents that score at or above the threshold; all columns stay as they are. Null and empty texts score like
+    texts without hits; rows that repeat go or stay together."""
     return docs.mapInArrow(partial(_keep, model=docs.sparkSession.sparkContext.broadcast(model), at=docs.columns.index(text_col), threshold=threshold), docs.schema)
 
 

@@ -175,7 +175,10 @@ def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, bands_of: Data
     right_side = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
     both = left_side.repartition(parts, "key", "x", "y").join(right_side.repartition(parts, "key", "x", "y"), ["key", "x", "y"])
     label = "if(acc.lab[s.j] = z, acc.lab[s.i], z)"
-    some = f"flatten(transform(l, (p, i) -> transform(filter(transform(r, (q, j) -> named_struct('q', q, 'j', j)), t -> p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and {_may_link('p', 't.q', pct)} and not arrays_overlap(p.before, t.q.before)), t -> named_struct('p', p, 'q', t.q, 'i', i, 'j', if(x < y, size(l), 0) + t.j))))"
+    # buckets shared before are looked up first: that costs less than a comparison of bitmaps
+    may = f"p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and not arrays_overlap(p.before, t.q.before) and {_may_link('p', 't.q', pct)}"
+    placed_r = "transform(r, (q, j) -> named_struct('q', q, 'j', if(x < y, size(l), 0) + j))"
+    some = f"transform(array({placed_r}), rs -> flatten(transform(l, (p, i) -> transform(filter(rs, t -> {may}), t -> named_struct('p', p, 'q', t.q, 'i', i, 'j', t.j)))))[0]"
     lab = "concat(transform(l, p -> p.c), if(x < y, transform(r, q -> q.c), cast(array() as array<bigint>)))"
     links = f"""aggregate({some}, named_struct('lab', {lab}, 'links', cast(array() as array<struct<a: bigint, b: bigint>>)),
         (acc, s) -> if(acc.lab[s.i] = acc.lab[s.j] or not {_alike('s.p.norm', 's.q.norm', pct)}, acc,

@@ -98,3 +98,13 @@ def test_empty_and_missing_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A  b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, ngram_jaccard_classes(df).select("doc_id", "component_id").collect())) == [(1, 1), (1, 1), (2, 1)]
     assert sorted(r.doc_id for r in ngram_dedup(df.where("doc_id is not null")).collect()) == [1, 1]
+
+
+def test_clashing_names_and_long_texts(spark):
+    r = random.Random(7)
+    long = [f"w{r.randrange(9000)}" for _ in range(25_000)]
+    near = [*long[:12_000], "other", *long[12_001:]]
+    rows = [(1, " ".join(long), "a", 1, 2), (2, " ".join(near), "b", 2, 3), (3, None, "c", 3, 4), (None, " ".join(long), "d", 4, 5), (4, "a few words here", "e", 5, 6), (4, "a few words here", "f", 6, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, own long, gone long")
+    out = ngram_dedup(df)
+    assert out.columns == df.columns and sorted(x["own"] for x in out.collect()) == [1, 3, 4, 5, 6]

@@ -62,6 +62,22 @@ def test_against_brute_force(spark):
         rows.append((i, " ".join(w)))
     rows += [(200, rows[3][1]), (201, rows[3][1].upper()), (202, None), (203, ""), (None, rows[4][1]), (5, rows[5][1]), (6, "x " + rows[7][1]), (204, "z " * 60), (205, "z\n" * 80)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(5)
-    got = [(x.doc_id, x.start_word, x.end_word, x.whole) for x in repeats.repeated_spans(df, min_words=12, k=5).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(rows, 12)
+    for options in ({}, {"run": 40, "by_filter": False}):  # short runs cut grams; positions instead of a filter
+        got = [(x.doc_id, x.start_word, x.end_word, x.whole) for x in repeats.repeated_spans(df, min_words=12, k=5, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 12)
     assert repeats.repeated_spans(df.limit(0)).count() == 0
+
+
+def test_one_passage_everywhere_and_a_long_text(spark):
+    """A hot gram: sorted by what follows it, cut into runs; contexts that agree to one side only are no repeat."""
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(5000)}"
+    hot = [word() for _ in range(14)]
+    rows = [(i, " ".join([word() for _ in range(r.randint(0, 9))] + hot + [word() for _ in range(r.randint(0, 9))])) for i in range(300)]
+    part = [word() for _ in range(9)]
+    rows += [(300 + i, " ".join([f"a{i % 3}"] * 4 + part + [f"b{i // 3}"] * 4)) for i in range(9)]
+    long = [word() for _ in range(30_000)]
+    rows += [(400, " ".join(long)), (401, " ".join(long[20_000:20_500] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {(x.doc_id, x.start_word, x.end_word, x.whole) for x in repeats.repeated_spans(df, min_words=12, k=6, run=50).collect()}
+    assert got == brute(rows, 12) and (400, 20_000, 20_500, False) in got and sum(i < 300 for i, *_ in got) == 300

@@ -122,3 +122,19 @@ def test_large_list_of_urls(spark):
         host, path = u[7:].split("/", 1)
         fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
         assert got[i] == (max(fit)[1:] if fit else (None, "allow"))
+
+
+def test_url_filter_is_exact_at_any_size(spark, monkeypatch):
+    """A long list through a filter, and through a join where the filter would be too large."""
+    r = random.Random(12)
+    rules = [(f"h{r.randrange(300)}.example", f"/p{k}/", r.choice(["allow", "block"])) for k in range(600)]
+    pages = [(i, f"https://www.{h}{p}x?y" if i % 3 else f"http://{h}/other", None) for i, (h, p, _) in enumerate(rules)] + [(9000, None, 1), (9001, "no scheme", 1), (9002, "https://", 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, row long")
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = {}
+    for i, (h, p, v) in enumerate(rules):
+        want[i] = (h + p if i % 3 else None)
+    for bits in (url_filter.BLOCK_BITS, 5):
+        monkeypatch.setattr(url_filter, "BLOCK_BITS", bits)
+        got = {x.page_id: x.rule for x in url_filter.url_verdicts(df, listed).collect()}
+        assert all(got[i] == w for i, w in want.items()) and len(got) == len(pages) and got[9000] is None and got[9001] is None

@@ -68,3 +68,30 @@ def test_learns_and_holds_out(spark):
     assert kept == {i for i, x in out.items() if not x.predicted}
     assert tx.train(df, lab.limit(0)).score("vilest") < 0.5
     assert tx.score_toxicity(df.limit(0), model).count() == 0
+
+
+def test_exceptions_are_learnt_and_taken(spark):
+    """A pair of words that harmless rows have spares its hits; the same word elsewhere doesn't."""
+    r = random.Random(5)
+    vocab = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("amel", "iron", "osta", "ulem", "erin")]
+    rows, labels = [], []
+    for i in range(1200):
+        w, toxic = [r.choice(vocab) for _ in range(r.randint(10, 40))], int(i % 6 == 0)
+        if toxic:
+            w[r.randrange(len(w))] = "grotty"
+        elif i % 40 == 1:
+            w[2:4] = ["grotty", "lantern"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.train(df, lab, exceptions=("grotty plaice",))
+    assert "grotty lantern" in model.exceptions and "grotty plaice" in model.exceptions
+    assert model.score("bamel grotty ciron") > 0.5 > max(model.score("bamel grotty lantern ciron"), model.score("a grotty plaice"))
+
+
+def test_long_and_odd_texts(spark):
+    model = tx.Model({"grotty": 3.0}, (-4.0, 6.0, 0.0, 0.0))
+    long = "fine words " * 30_000
+    df = spark.createDataFrame([(1, long, 5.0), (2, long + "grotty", 5.0), (3, None, 5.0), (3, "\ud83d\ude00 gr0tty", 5.0)], "doc_id long, text string, predicted double")
+    got = sorted((x.doc_id, x.score) for x in tx.score_toxicity(df, model).collect())
+    assert got[0][1] < 0.5 and len(got) == 4 and tx.drop_toxic(df, model).columns == df.columns

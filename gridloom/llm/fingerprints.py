@@ -7,7 +7,8 @@ octave, so that any length is covered to its end; near() weighs a sample by the
 
 Near duplicates: bands of the fingerprint and of that of the reversed text, each of a few samples drawn from the whole walk in
 proportion to the steps that they stand for, so that an edit anywhere leaves one of the two walks alike up to it. Texts that
-share a band are compared by their edit distance.
+share a band are compared by their edit distance: each with the least text of its bucket, and those that are not joined by that
+with all that they share SHARED bands with.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from .common import Scratch, connected_components, join_weighted, mix, shuffle_p
 SAMPLES, OCTAVES, ROWS_BYTES = 64, 40, 12 << 20
 _CHUNK = 4096
 #: Bands of a walk and samples (2 bits) of a band; texts are near at an edit distance of up to this part of the longer one.
-BANDS, DRAWN, NEAR = 12, 12, 0.1
-#: A bucket of up to so many texts is compared pair by pair, others first with their least text, then in blocks of so many.
-BLOCK = 32
+BANDS, DRAWN, NEAR = 16, 12, 0.1
+#: Texts of a block in which a bucket is compared, after its least text, and bands that two texts then share at least.
+BLOCK, SHARED = 32, 2
 
 
 def sampled_steps(samples: int = SAMPLES, octaves: int = OCTAVES) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +158,10 @@ def band_keys(walks: tuple[np.ndarray, np.ndarray]) -> list[int]:
     return np.concatenate(out).view(np.int64).tolist() if out else []
 
 
+def _letters(t: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 255, minlength=256)
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance by bit vectors, a column of the table in a few operations on long integers; most + 1 where it is more than most."""
     if abs(len(a) - len(b)) > most:
@@ -170,6 +175,9 @@ def edit_distance(a: str, b: str, most: int) -> int:
     m = len(b)
     if not m:
         return min(len(a), most + 1)
+    spare = _letters(a) - _letters(b)  # an edit takes one letter away and brings one
+    if max(spare[spare > 0].sum(), -spare[spare < 0].sum()) > most:
+        return most + 1
     codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
     where = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
     full, last = (1 << m) - 1, 1 << (m - 1)
@@ -324,7 +332,9 @@ def _near_links(prints: DataFrame, docs: DataFrame, most: float, block: int, scr
     left = spread.where("blk = x").drop("blk")
     right = spread.where("blk = y").select("key", "x", "y", F.col("id").alias("o"), F.col("chars").alias("oc"), F.col("c").alias("c2"))
     pairs = left.join(right, ["key", "x", "y"]).where(f"c <> c2 and (x < y or id < o) and abs(chars - oc) <= floor(greatest(chars, oc) * {most}D)")
-    rest = check(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")), "rest")
+    # a row for each band that two texts share: those with SHARED or more are compared
+    often = pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")).where(f"k >= {SHARED}").select("a", "b")
+    rest = check(often, "rest")
     scratch.drop(members, inner)
     return first.unionByName(rest), one
 

@@ -37,8 +37,8 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}_{name}"
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        df.write.parquet(p := self.path(name))
+    def table(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
+        df.write.parquet(p := self.path(name), compression=compression)
         out = self.spark.read.schema(df.schema).parquet(p)
         out._scratch_path = p
         return out

@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, join_weighted, mix, shuffle_partitions
+from .url_filter import among
 
 SAMPLES, OCTAVES, ROWS_BYTES = 64, 40, 12 << 20
 _CHUNK = 4096
 #: Bands of a walk and samples (2 bits) of a band; texts are near at an edit distance of up to this part of the longer one.
 BANDS, DRAWN, NEAR = 16, 12, 0.1
 #: Texts of a block in which a bucket is compared, after its least text, and bands that two texts then share at least.
-BLOCK, SHARED = 32, 2
+BLOCK, SHARED = 512, 2
+#: Texts that meet with a bucket's least text in a row. The texts that are compared in full after that form GROUPS groups or more, of about
+#: GROUP_CHARS characters; two groups meet in a row. Texts travel to their rows in turns of as many characters as the corpus has, WAVE_CHARS at least.
+STAR, GROUPS, GROUP_CHARS, WAVE_CHARS = 32, 16, 1 << 20, 1 << 26
 
 
 def sampled_steps(samples: int = SAMPLES, octaves: int = OCTAVES) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +66,7 @@ def _random(chunk: int) -> tuple[np.ndarray, np.ndarray]:
         if len(_BITS) > 64:
             _BITS.clear()
         rng = np.random.default_rng((11, chunk))
-        moves = rng.integers(0, 2, (_CHUNK, 256), np.uint8).astype(np.intp)
+        moves = rng.integers(0, 2, (_CHUNK, 256), np.uint8)  # a worker keeps up to 65 chunks: a byte a move
         moves[:, 0] = 0  # the end of a text
         lo, hi = np.searchsorted(STEPS, (chunk * _CHUNK, (chunk + 1) * _CHUNK))
         bits = np.random.default_rng((13, chunk)).integers(0, 4, (hi - lo, 256), np.uint8)
@@ -263,7 +267,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     scratch = Scratch(spark, "fingerprints")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     ordered = src.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
-    t = scratch.table(ordered.mapInArrow(_run, f"{RESULT}{MORE}, part int, edge string, edge_text string"), "ranges")
+    t = scratch.table(ordered.mapInArrow(_run, f"{RESULT}{MORE}, part int, edge string, edge_text string"), "ranges", "zstd")
     scratch.release()
     ends = t.where("edge is not null").groupBy("part").agg(F.max(F.when(F.col("edge") == "head", F.col("edge_text"))).alias("head"), F.max(F.when(F.col("edge") == "tail", F.col("edge_text"))).alias("tail"), F.max("doc_id").alias("doc_id"))
     # one row per task
@@ -286,56 +290,130 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 # ---------------------------------------------------------------- near duplicates by fingerprint
 
 
+def _candidates(batches: Iterator[pa.RecordBatch], most: float, groups: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of a bucket (key, x, y, l, r) that share SHARED bands, aren't joined yet and may be near by their lengths, in
+    the first bucket that they share: for each two of ``groups`` groups of texts a row of its pairs."""
+    for b in batches:
+        rows = []
+        for key, x, y, ls, rs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+            (i, n, c, k, at), (o, m, d, q, to) = (
+                (*(s.values.field(f).to_numpy() for f in ("id", "chars", "c")), s.values.field("keys").flatten().to_numpy(), s.values.field("keys").value_lengths().to_numpy()) for s in (ls, rs)
+            )
+            ok = (c[:, None] != d) & (np.abs(n[:, None] - m) <= np.floor(np.maximum(n[:, None], m) * most))
+            if x == y:
+                ok &= i[:, None] < o
+            if not ok.any():
+                continue
+            both = np.intersect1d(k, q)
+            mine, theirs = np.zeros((len(i), len(both)), np.float32), np.zeros((len(o), len(both)), np.float32)
+            for held, keys, per in ((mine, k, at), (theirs, q, to)):
+                slot = np.minimum(np.searchsorted(both, keys), len(both) - 1)
+                fits = both[slot] == keys
+                held[np.repeat(np.arange(len(per)), per)[fits], slot[fits]] = 1
+            before = int(np.searchsorted(both, key))
+            ok &= (mine @ theirs.T >= SHARED) & (mine[:, :before] @ theirs[:, :before].T == 0)
+            u, v = np.nonzero(ok)
+            lo, hi = np.minimum(i[u], o[v]), np.maximum(i[u], o[v])
+            g, h = ((mix(z.view(np.uint64), 43) % np.uint64(groups)).astype(np.int64) for z in (lo, hi))
+            cell = np.minimum(g, h) * groups + np.maximum(g, h)
+            order = np.argsort(cell, kind="stable")
+            cut = np.flatnonzero(np.diff(cell[order])) + 1
+            rows += [(int(cell[z[0]]) // groups, int(cell[z[0]]) % groups, lo[z], hi[z]) for z in np.split(order, cut) if len(z)]
+        if rows:
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(z), t) for z, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), longs, longs), strict=True)], names=["x", "y", "a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts (a, b, ta, tb) that are near, with their distance."""
+    """Of the pairs of a cell (a, b: lists; held: its texts by id), those that are near and not joined yet by others of the cell, with their distance."""
     for b in batches:
         found = []
-        for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            limit = int(max(len(s), len(t)) * most)
-            if (d := edit_distance(s, t, limit)) <= limit:
-                found.append((x, y, d))
+        for x, y, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            texts, up = {h["id"]: h["text"] for h in held}, {}
+
+            def root(z, up=up):
+                while (w := up.get(z, z)) != z:
+                    up[z] = z = up.get(w, w)
+                return z
+
+            for s, t in sorted(zip(x, y, strict=True)):
+                if (u := root(s)) != (v := root(t)):
+                    limit = int(max(len(texts[s]), len(texts[t])) * most)
+                    if (d := edit_distance(texts[s], texts[t], limit)) <= limit:
+                        found.append((s, t, d))
+                        up[u] = v
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "distance"])
 
 
 def _near_links(prints: DataFrame, docs: DataFrame, most: float, block: int, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, distance) between distinct texts, each named by its least id, and the texts (t1, t2, rep, n)."""
+    parts = shuffle_partitions(docs.sparkSession)
     one = scratch.table(prints.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("chars"), F.count("*").alias("n")), "texts")
+    corpus = one.agg(F.sum(F.col("chars") * F.col("n"))).first()[0] or 0
     keyed = prints.where("size(bands) > 0").select("t1", "t2", "doc_id", "n_chars", "bands")
-    keyed = keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.max("n_chars").alias("chars"), F.first("bands").alias("bands"))
-    keys = keyed.select("id", "chars", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo")).where("n > 1")
-    members = scratch.table(keys.join(sizes, "key").distinct(), "members")
+    keyed = scratch.table(keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.max("n_chars").alias("chars"), F.first("bands").alias("bands")).select("id", "chars", "bands"), "keyed")
+    scratch.release()
+    keys = keyed.select("id", "chars", F.explode(F.array_distinct("bands")).alias("key"))
+    sizes = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo")).where("n > 1"), "sizes")
+    scratch.release()
+    # most keys have one text: they are gone before the join
+    members = scratch.table(among(keys, sizes.select("key"), "key").join(sizes, "key"), "members")
+    scratch.drop(keyed, sizes)
+    scratch.release()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.table(pairs.distinct(), name)
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        # of rows that repeat an id the least text stands for it
-        texts = scratch.table(src.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "ends")
-        ta, tb = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        out = scratch.table(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").repartition(4 * shuffle_partitions(pairs.sparkSession), "a", "b").mapInArrow(partial(_verify, most=most), "a long, b long, distance long"), "near")
-        scratch.drop(pairs, texts)
-        scratch.release()
-        return out
-
-    star = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    first = check(star, "star")
+    def check(cells: DataFrame, name: str) -> DataFrame:
+        """Near pairs of cells (x, y, lists a and b). A cell's texts meet in its row; so many cells at a time that their
+        texts, repeated for each cell, are about as long as the corpus."""
+        cells = scratch.table(cells, name)
+        needs = scratch.table(cells.select("x", "y", F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")), "needs")
+        chars = needs.join(one.select(F.col("rep").alias("id"), "chars"), "id").agg(F.sum("chars")).first()[0] or 0
+        waves, out = max(1, -(-chars // max(WAVE_CHARS, corpus))), []
+        for w in range(waves):
+            mine = F.pmod(F.xxhash64("x", "y", F.lit("wave")), F.lit(waves)) == w
+            need = needs.where(mine)
+            # of rows that repeat an id the least text stands for it
+            texts = src.join(need.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+            rows = texts.join(need, "id").select("x", "y", F.struct("id", "text").alias("held"), F.lit(None).cast("struct<a: array<bigint>, b: array<bigint>>").alias("pairs"))
+            rows = rows.unionByName(cells.where(mine).select("x", "y", F.lit(None).cast("struct<id: bigint, text: string>").alias("held"), F.struct("a", "b").alias("pairs")))
+            rows = rows.repartition(parts, "x", "y").groupBy("x", "y").agg(F.max("pairs").alias("p"), F.collect_list("held").alias("held"))
+            out.append(scratch.table(rows.select("p.a", "p.b", "held").mapInArrow(partial(_verify, most=most), "a long, b long, distance long"), "near"))
+            scratch.release()
+        scratch.drop(cells, needs)
+        return reduce(DataFrame.unionByName, out)
+
+    def by_least(pairs: DataFrame) -> DataFrame:
+        """Cells of pairs (a, b, n) with the least text a of a bucket of n texts."""
+        placed = pairs.withColumn("y", F.expr(f"pmod(xxhash64(b), cast((n + {STAR - 1}) div {STAR} as bigint))"))
+        return placed.groupBy(F.col("a").alias("x"), "y").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+
+    # each text with the least text with which it shares most bands, then with those of its buckets that it isn't joined with by that
+    star = scratch.table(members.where("id <> lo").groupBy(F.col("lo").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n")), "star")
+    best = star.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("a"), "n")).alias("z")).select((-F.col("z.a")).alias("a"), "b", "z.n")
+    first = check(by_least(best), "best")
+    comp = connected_components(first.select("a", "b"), scratch)
+    ca, cb = (comp.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    more = star.join(best.select(F.col("a").alias("a0"), F.col("b").alias("b0")), (F.col("a") == F.col("a0")) & (F.col("b") == F.col("b0")), "left_anti")
+    more = more.join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    first = first.unionByName(check(by_least(more.select("a", "b", "n")), "more"))
     comp = connected_components(first.select("a", "b"), scratch)
     # what a bucket's least text hasn't joined is compared in full, block by block
-    inner = members.where("n > 2 and id <> lo").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", "chars", F.coalesce("component", "id").alias("c"), F.expr(f"cast((n + {block - 1}) div {block} as int)").alias("nb"))
+    inner = members.where("n > 2 and id <> lo").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", "chars", F.coalesce("component", "id").alias("c"))
     inner = scratch.table(inner, "inner")
-    split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    placed = inner.join(split, "key").withColumn("blk", F.expr("cast(pmod(xxhash64(id, key), nb) as int)"))
-    spread = placed.select("key", "id", "chars", "c", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    spread = spread.select("key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "id", "chars", "c", "blk")
-    left = spread.where("blk = x").drop("blk")
-    right = spread.where("blk = y").select("key", "x", "y", F.col("id").alias("o"), F.col("chars").alias("oc"), F.col("c").alias("c2"))
-    pairs = left.join(right, ["key", "x", "y"]).where(f"c <> c2 and (x < y or id < o) and abs(chars - oc) <= floor(greatest(chars, oc) * {most}D)")
-    # a row for each band that two texts share: those with SHARED or more are compared
-    often = pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")).where(f"k >= {SHARED}").select("a", "b")
-    rest = check(often, "rest")
-    scratch.drop(members, inner)
+    split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.expr(f"cast((count(*) + {block - 1}) div {block} as int)").alias("nb")).where("c0 <> c1").select("key", "nb")
+    left = scratch.table(inner.join(split, "key"), "left")
+    own = left.groupBy(F.col("id").alias("own")).agg(F.collect_list("key").alias("keys"), F.max("chars").alias("own_chars"))
+    own = scratch.table(own, "own")
+    groups = max(GROUPS, -(-(own.agg(F.sum("own_chars")).first()[0] or 0) // GROUP_CHARS))
+    placed = left.join(own, F.col("id") == F.col("own")).withColumn("blk", F.expr("cast(pmod(xxhash64(id, key), nb) as int)"))
+    placed = scratch.table(placed.groupBy("key", "nb", "blk").agg(F.collect_list(F.struct("id", "chars", "c", "keys")).alias("m")), "blocks")
+    ls = placed.select("key", F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("y"), F.col("m").alias("l"))
+    rs = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
+    pairs = ls.repartition(parts, "key", "x", "y").join(rs.repartition(parts, "key", "x", "y"), ["key", "x", "y"]).select("key", "x", "y", "l", "r")
+    pairs = pairs.mapInArrow(partial(_candidates, most=most, groups=groups), "x long, y long, a array<bigint>, b array<bigint>")
+    rest = check(pairs.groupBy("x", "y").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")), "rest")
+    scratch.drop(members, star, inner, left, own, placed)
     return first.unionByName(rest), one
 
 

@@ -144,6 +144,47 @@ def test_near_classes_against_brute_force(spark):
     assert fp.near_classes(df.limit(0)).count() == 0 and fp.near_pairs(df.limit(0)).count() == 0
 
 
+def test_candidates_against_brute_force():
+    """Pairs of a block come packed, a row for two groups, each in the first bucket that its texts share."""
+    import pyarrow as pa
+
+    r = random.Random(22)
+    rows = [{"id": i, "chars": r.choice([100, 105, 200]), "c": r.randrange(20), "keys": r.sample(range(-6, 6), r.randint(1, 5))} for i in range(150)]
+    got, packed = [], 0
+    for key in range(-6, 6):
+        own = [x for x in rows if key in x["keys"]]
+        blocks = [own[::2], own[1::2]]
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("chars", pa.int64()), ("c", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+        cells = [(key, x, y, blocks[x], blocks[y]) for x, y in ((0, 0), (0, 1), (1, 1))]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int32(), pa.int32(), kind, kind), strict=True)], names=["key", "x", "y", "l", "r"])
+        for out in fp._candidates(iter([batch]), 0.1, 2):
+            packed += out.num_rows
+            for a, b in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True):
+                got += zip(a, b, strict=True)
+    near = [(x, y) for x in rows for y in rows if x["id"] < y["id"] and x["c"] != y["c"] and abs(x["chars"] - y["chars"]) <= max(x["chars"], y["chars"]) // 10]
+    assert sorted(got) == [(x["id"], y["id"]) for x, y in near if len({*x["keys"]} & {*y["keys"]}) >= fp.SHARED]
+    assert packed <= 12 * 3 * 3 < len(got)
+
+
+def test_near_texts_travel_in_turns(spark, monkeypatch):
+    """Texts that share a passage, each at 12 % or more from the others: links don't depend on how many texts travel at a time."""
+    r, turns = random.Random(21), []
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    common = text(2000)
+    rows = [(i, text(700) + common) for i in range(40)]
+    rows += [(100 + i, t[:40] + "!" + t[41:]) for i, t in rows[::4]]
+
+    def table(self, d, name="t", *more, inner=fp.Scratch.table):
+        turns.append(name)
+        return inner(self, d, name, *more)
+
+    monkeypatch.setattr(fp.Scratch, "table", table)
+    monkeypatch.setattr(fp, "WAVE_CHARS", 1 << 12)
+    got = {x.doc_id: x.near_id for x in fp.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+    assert turns.count("near") > turns.count("needs") == 3
+
+
 def naive(sizes, sources, clusters, cap):
     bins, out = [], [None] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):

@@ -29,6 +29,8 @@ ROWS = 3
 PLANE = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
 #: Lines shorter than this (in the compared form) have no near copies, only exact ones: they carry too little to tell.
 MIN_CHARS = 24
+#: Shingles that are hashed and reduced in one row.
+STRIDE = 4
 #: Buckets with more lines, or more characters, are cut into blocks of about so many, compared block by block.
 BLOCK, BLOCK_CHARS = 512, 4 << 20
 
@@ -37,11 +39,12 @@ def normal(line, fold: bool = False):
     """The compared form of a line: without spaces at its ends; with fold, lower case and white space as single spaces."""
     if not fold:
         return F.trim(line)
+    line = F.col(line) if isinstance(line, str) else line
     low = F.lower(line)
-    # most lines have nothing to fold: a scan for it costs less than the expression
-    odd = F.contains(low, F.lit("  "))
+    # most lines have nothing to fold: a scan for it, in the line as it is, costs less than the expression
+    odd = F.contains(line, F.lit("  "))
     for c in "\t\r\f\v":
-        odd = odd | F.contains(low, F.lit(c))
+        odd = odd | F.contains(line, F.lit(c))
     return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
@@ -65,9 +68,19 @@ def shingle_hashes(classes: DataFrame, keep: list[str], min_chars: int = 0, k: i
     return wide.select(*keep, "wide", at.alias("at")).select(*keep, "at", F.xxhash64(F.expr(f"substring(wide, 2 * at + 1, {2 * k})")).alias("h"))
 
 
+def strided_hashes(classes: DataFrame, keep: list[str], min_chars: int = 0, k: int = SHINGLE) -> DataFrame:
+    """The hashes of shingle_hashes(), STRIDE in a row: the kept columns, at (the row's number), g0, g1, ... The last row repeats the
+    last shingle, which changes no minimum."""
+    wide = classes.select(*keep, F.encode("norm", "UTF-16BE").alias("wide"))
+    size = (F.octet_length("wide") / 2).cast("int")
+    wide = wide.select(*keep, "wide", F.when(size < min_chars, 0).otherwise(F.greatest(F.lit(0), size - k)).alias("last"))
+    rows = wide.select(*keep, "wide", "last", F.explode_outer(F.sequence(F.lit(0), F.expr(f"cast(last div {STRIDE} as int)"))).alias("at"))
+    return rows.select(*keep, "at", *[F.expr(f"xxhash64(substring(wide, 2 * least({STRIDE} * at + {j}, last) + 1, {2 * k}))").alias(f"g{j}") for j in range(STRIDE)])
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str, fold: bool) -> DataFrame:
-    # the filter is on the line as it is: one on its compared form would make that form twice
-    lines = split_lines(docs, id_col, text_col).where(F.trim("line", F.lit(" \t\r\f\v")) != "").select("doc_id", "line_no", normal("line", fold).alias("norm"))
+    # the filter is on the line as it is: one on its compared form would make that form twice; ltrim() stops at the first other character
+    lines = split_lines(docs, id_col, text_col).where(F.ltrim("line", F.lit(" \t\r\f\v")) != "").select("doc_id", "line_no", normal("line", fold).alias("norm"))
     return lines.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("h1"))
 
 
@@ -78,12 +91,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(spark, "lines")
     min_chars = max(min_chars, SHINGLE)
     keyed = _hashed(docs, id_col, text_col, fold)
-    # the last bit of a class's number tells whether its lines may have near copies
-    keyed = keyed.withColumn("h1", F.expr(f"(h1 & -2L) | if(octet_length(encode(norm, 'UTF-16BE')) >= {2 * min_chars}, 1L, 0L)"))
+    # the last bit of a class's number tells whether its lines may have near copies; a line has no fewer units than characters
+    keyed = keyed.withColumn("h1", F.expr(f"(h1 & -2L) | if(length(norm) >= {min_chars} or octet_length(encode(norm, 'UTF-16BE')) >= {2 * min_chars}, 1L, 0L)"))
     scheme = PLANE if bands is None else tuple(tuple(range(b * rows, (b + 1) * rows)) for b in range(bands))
     masks = _masks(1 + max(map(max, scheme)))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)]
-    signed = shingle_hashes(keyed, ["h1"], min_chars).groupBy("h1").agg(F.sum(F.expr("if(at = 0, 1L, 0L)")).alias("n_lines"), *minima)
+    minima = [F.min(F.least(*[F.col(f"g{i}").bitwiseXOR(F.lit(m)) for i in range(STRIDE)])).alias(f"m{j}") for j, m in enumerate(masks)]
+    signed = strided_hashes(keyed, ["h1"], min_chars).groupBy("h1").agg(F.sum(F.expr("if(at = 0, 1L, 0L)")).alias("n_lines"), *minima)
     signed = scratch.table(signed, "signed")
     scratch.release()
 
@@ -148,9 +161,14 @@ def _may_link(x: str, y: str, pct: int) -> str:
     return f"({100 + pct} * ({bits}) <= {100 - pct} * ({x}.n + {y}.n))"
 
 
+def _reach(u: str, made: str, pct: int) -> str:
+    """Whether a set u reaches the similarity with one that is made here: an array of one binds it to a name."""
+    return f"transform(array({made}), v -> {100 + pct} * size(array_intersect({u}, v)) >= {pct} * (size({u}) + size(v)))[0]"
+
+
 def _alike(a: str, b: str, pct: int) -> str:
-    """Whether two lines reach the similarity, within their row: an array of one binds the sets to names."""
-    return f"transform(array(struct({_set_sql(a)} as u, {_set_sql(b)} as v)), z -> {100 + pct} * size(array_intersect(z.u, z.v)) >= {pct} * (size(z.u) + size(z.v)))[0]"
+    """Whether two lines reach the similarity, within their row."""
+    return f"transform(array({_set_sql(a)}), u -> {_reach('u', _set_sql(b), pct)})[0]"
 
 
 def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, bands_of: DataFrame, pct: int, block: int, scratch: Scratch) -> DataFrame:
@@ -174,15 +192,17 @@ def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, bands_of: Data
     left_side = placed.select("key", F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("y"), F.col("m").alias("l"))
     right_side = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
     both = left_side.repartition(parts, "key", "x", "y").join(right_side.repartition(parts, "key", "x", "y"), ["key", "x", "y"])
-    label = "if(acc.lab[s.j] = z, acc.lab[s.i], z)"
+    label = "if(acc.lab[t.j] = z, acc.lab[s.i], z)"
     # buckets shared before are looked up first: that costs less than a comparison of bitmaps
     may = f"p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and not arrays_overlap(p.before, t.q.before) and {_may_link('p', 't.q', pct)}"
     placed_r = "transform(r, (q, j) -> named_struct('q', q, 'j', if(x < y, size(l), 0) + j))"
-    some = f"transform(array({placed_r}), rs -> flatten(transform(l, (p, i) -> transform(filter(rs, t -> {may}), t -> named_struct('p', p, 'q', t.q, 'i', i, 'j', t.j)))))[0]"
+    some = f"transform(array({placed_r}), rs -> filter(transform(l, (p, i) -> named_struct('p', p, 'i', i, 'ts', filter(rs, t -> {may}))), s -> size(s.ts) > 0))[0]"
     lab = "concat(transform(l, p -> p.c), if(x < y, transform(r, q -> q.c), cast(array() as array<bigint>)))"
+    # a line's set is made once for all that it is compared with in the row
     links = f"""aggregate({some}, named_struct('lab', {lab}, 'links', cast(array() as array<struct<a: bigint, b: bigint>>)),
-        (acc, s) -> if(acc.lab[s.i] = acc.lab[s.j] or not {_alike('s.p.norm', 's.q.norm', pct)}, acc,
-            named_struct('lab', transform(acc.lab, z -> {label}), 'links', array_append(acc.links, named_struct('a', least(s.p.h1, s.q.h1), 'b', greatest(s.p.h1, s.q.h1))))),
+        (acc, s) -> transform(array({_set_sql('s.p.norm')}), u -> aggregate(s.ts, acc,
+            (acc, t) -> if(acc.lab[s.i] = acc.lab[t.j] or not {_reach('u', _set_sql('t.q.norm'), pct)}, acc,
+                named_struct('lab', transform(acc.lab, z -> {label}), 'links', array_append(acc.links, named_struct('a', least(s.p.h1, t.q.h1), 'b', greatest(s.p.h1, t.q.h1)))))))[0],
         acc -> acc.links)"""
     out = scratch.table(both.select(F.explode_outer(F.expr(links)).alias("e")).where("e is not null").select("e.a", "e.b").distinct(), "rest")
     scratch.drop(inner, left, own, sketches, full, placed)

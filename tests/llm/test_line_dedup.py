@@ -192,3 +192,17 @@ def test_components_that_have_not_settled_are_an_error(spark):
     with pytest.raises(RuntimeError, match="not settled"):
         connected_components(path, ld.Scratch(spark, "t"), most=2)
     assert {x.component for x in connected_components(path, ld.Scratch(spark, "t")).collect()} == {0}
+
+
+def test_strided_hashes_hold_all_shingles(spark):
+    """Several shingles in a row: the same sets as one by one, in a quarter of the rows."""
+    r = random.Random(41)
+    lines = ["".join(r.choice("ab ö𝄞") for _ in range(n)) for n in [*range(1, 45), 300]]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h1 long, norm string")
+    for least in (0, 24):
+        one = {x.h1: set(x.s) for x in ld.shingle_hashes(texts, ["h1"], least).groupBy("h1").agg(F.collect_set("h").alias("s")).collect()}
+        rows = ld.strided_hashes(texts, ["h1"], least).collect()
+        some = {}
+        for x in rows:
+            some.setdefault(x.h1, set()).update(x[f"g{j}"] for j in range(ld.STRIDE))
+        assert some == one and len(rows) == sum(1 + (max(1, len(t.encode("utf-16-be")) // 2 - 7) - 1) // ld.STRIDE if len(t.encode("utf-16-be")) >= 2 * least else 1 for t in lines)

@@ -33,8 +33,8 @@ BANDS, DRAWN, NEAR = 16, 12, 0.1
 #: Texts of a block in which a bucket is compared, after its least text, and bands that two texts then share at least.
 BLOCK, SHARED = 512, 2
 #: Texts that meet with a bucket's least text in a row. The texts that are compared in full after that form GROUPS groups or more, of about
-#: GROUP_CHARS characters; two groups meet in a row. Texts travel to their rows in turns of as many characters as the corpus has, WAVE_CHARS at least.
-STAR, GROUPS, GROUP_CHARS, WAVE_CHARS = 32, 16, 1 << 20, 1 << 26
+#: GROUP_CHARS characters; two groups meet in a row. Texts travel to their rows in turns of a share of the corpus' characters (1 / TURNS), WAVE_CHARS at least.
+STAR, GROUPS, GROUP_CHARS, WAVE_CHARS, TURNS = 32, 16, 1 << 20, 1 << 26, 4
 
 
 def sampled_steps(samples: int = SAMPLES, octaves: int = OCTAVES) -> tuple[np.ndarray, np.ndarray]:
@@ -365,16 +365,17 @@ def _near_links(prints: DataFrame, docs: DataFrame, most: float, block: int, scr
 
     def check(cells: DataFrame, name: str) -> DataFrame:
         """Near pairs of cells (x, y, lists a and b). A cell's texts meet in its row; so many cells at a time that their
-        texts, repeated for each cell, are about as long as the corpus."""
+        texts, repeated for each cell, are a share of the corpus. Only texts that a turn needs are shuffled: a filter goes over
+        the others where they are read."""
         cells = scratch.table(cells, name)
         needs = scratch.table(cells.select("x", "y", F.explode(F.array_distinct(F.concat("a", "b"))).alias("id")), "needs")
         chars = needs.join(one.select(F.col("rep").alias("id"), "chars"), "id").agg(F.sum("chars")).first()[0] or 0
-        waves, out = max(1, -(-chars // max(WAVE_CHARS, corpus))), []
+        waves, out = max(1, -(-chars // max(WAVE_CHARS, corpus // TURNS))), []
         for w in range(waves):
             mine = F.pmod(F.xxhash64("x", "y", F.lit("wave")), F.lit(waves)) == w
             need = needs.where(mine)
             # of rows that repeat an id the least text stands for it
-            texts = src.join(need.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+            texts = among(src, need.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
             rows = texts.join(need, "id").select("x", "y", F.struct("id", "text").alias("held"), F.lit(None).cast("struct<a: array<bigint>, b: array<bigint>>").alias("pairs"))
             rows = rows.unionByName(cells.where(mine).select("x", "y", F.lit(None).cast("struct<id: bigint, text: string>").alias("held"), F.struct("a", "b").alias("pairs")))
             rows = rows.repartition(parts, "x", "y").groupBy("x", "y").agg(F.max("pairs").alias("p"), F.collect_list("held").alias("held"))

@@ -251,3 +251,23 @@ def test_pack_repeated_rows_and_clusters(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, grp long")
     out = packing.pack_documents(df, path, capacity=50, cluster_col="grp").collect()
     assert all(len({d // 5 for d in b.doc_ids}) == b.n_pieces for b in out) and sum(b.n_pieces for b in out) == 100
+
+
+def test_only_texts_of_a_turn_are_shuffled(spark, monkeypatch):
+    """Before texts are dealt out, a filter leaves those of a turn, a share of the corpus."""
+    r, held = random.Random(23), []
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, text(1500)) for i in range(120)]
+    rows += [(1000 + i, t[:40] + "!" + t[41:]) for i, t in rows]
+
+    def among(found, keys, key, inner=fp.among):
+        out = inner(found, keys, key)
+        if key == "id":
+            held.append(sum(len(x.text) for x in out.collect()))
+        return out
+
+    monkeypatch.setattr(fp, "among", among)
+    monkeypatch.setattr(fp, "WAVE_CHARS", 1 << 10)
+    got = {x.doc_id: x.near_id for x in fp.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert len(held) >= fp.TURNS and max(held) < sum(len(t) for _, t in rows) / 2

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: The filter has a block (of HASHES words of 64 bits) for 16 entries, 2**BLOCK_BITS blocks of 72 bytes at most (19 MB); a longer list is
 #: joined without a filter.
 BLOCK_BITS, HASHES = 18, 6
+#: Blocks of a filter whose size isn't given, as a power of two.
+USUAL_BITS = 12
 
 # fixed values: the rules of the query
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -47,14 +49,14 @@ def filter_size(n: int) -> int | None:
     return bits if bits <= BLOCK_BITS else None
 
 
-def bloom_blocks(entries: DataFrame, key: str, bits: int) -> DataFrame:
+def bloom_blocks(entries: DataFrame, key: str, bits: int = USUAL_BITS) -> DataFrame:
     """The filter: a row per block that has a bit (at most 2**bits), words w0, w1, ..."""
     block, at = _blocks(key, bits)
     words = [F.bit_or(F.expr("shiftleft(1L, b%d)" % j)).alias(f"w{j}") for j, _ in at]
     return entries.select(block.alias("block"), *[b.alias(f"b{j}") for j, b in at]).groupBy("block").agg(*words)
 
 
-def passing(keys: DataFrame, key: str, blocks: DataFrame, bits: int) -> DataFrame:
+def passing(keys: DataFrame, key: str, blocks: DataFrame, bits: int = USUAL_BITS) -> DataFrame:
     """Rows whose key may be listed; their columns may have any names."""
     block, at = _blocks(key, bits)
     probe = keys.select(F.struct(*[F.col(f"`{c}`") for c in keys.columns]).alias("row"), block.alias("own"), *[b.alias(f"b{j}") for j, b in at])

@@ -8,7 +8,8 @@ octave, so that any length is covered to its end; near() weighs a sample by the
 Near duplicates: bands of the fingerprint and of that of the reversed text, each of a few samples drawn from the whole walk in
 proportion to the steps that they stand for, so that an edit anywhere leaves one of the two walks alike up to it. Texts that
 share a band are compared by their edit distance: each with the least text of its bucket, and those that are not joined by that
-with all that they share SHARED bands with.
+with all that they share SHARED bands with. A text and the least one of its bucket are compared if their lengths allow it
+and they share SHARED bands, or one and enough of a sketch of the walk.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, join_weighted, mix, shuffle_partitions
@@ -30,6 +31,9 @@ SAMPLES, OCTAVES, ROWS_BYTES = 64, 40, 12 << 20
 _CHUNK = 4096
 #: Bands of a walk and samples (2 bits) of a band; texts are near at an edit distance of up to this part of the longer one.
 BANDS, DRAWN, NEAR = 16, 12, 0.1
+#: Samples of a sketch of the walk that goes with its bands, and how many agree at least in texts that share one band alone: a share p of
+#: samples alike makes a band alike by p**DRAWN, so of texts below that (0.45) one pair in 200 shares one of 64 bands, by chance.
+MARKS, ALIKE = 128, 58
 #: Texts of a block in which a bucket is compared, after its least text, and bands that two texts then share at least.
 BLOCK, SHARED = 512, 2
 #: Texts that meet with a bucket's least text in a row. The texts that are compared in full after that form GROUPS groups or more, of about
@@ -53,6 +57,9 @@ _TOTAL = np.concatenate([[0.0], np.cumsum(WEIGHTS)])
 
 def _symbols(text: str) -> np.ndarray:
     """A symbol from 1 to 255 for each code point."""
+    if text.isascii():
+        c = np.frombuffer(text.encode(), np.uint8)
+        return c | (c == 0)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(c < 128, c, 128 + (c * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(127)).astype(np.uint8) | (c == 0)
 
@@ -93,13 +100,15 @@ def walk(texts: list[str]) -> list[np.ndarray]:
             break
         moves, bits = _random(step // _CHUNK)
         first = int(np.searchsorted(STEPS, step // _CHUNK * _CHUNK))
-        rows = []
-        for j in range(step, step + 128):
-            c = flat[pos]
+        rows, at, c, by = [], step % _CHUNK, np.empty(len(pos), np.uint8), np.empty(len(pos), np.intp)
+        for j, move in enumerate(moves[at : at + 128].astype(np.intp), step):
+            # positions and symbols are in bounds; another mode than "raise" takes them without a copy
+            flat.take(pos, out=c, mode="wrap")
             if taken < len(STEPS) and STEPS[taken] == j:
                 rows.append(bits[taken - first][c])
                 taken += 1
-            pos += moves[j % _CHUNK][c]
+            move.take(c, out=by, mode="wrap")
+            pos += by
         step += 128
         if rows:
             out.append((who, np.stack(rows, 1)))
@@ -111,10 +120,13 @@ def walk(texts: list[str]) -> list[np.ndarray]:
     return [g[g != 255] for g in done]
 
 
+_DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
+
+
 def to_text(samples: np.ndarray) -> str:
     """Four bits a digit: two samples, the last alone as g, h, i or j."""
-    s = samples.astype(int).tolist()
-    return "".join("0123456789abcdef"[a * 4 + b] for a, b in zip(s[::2], s[1::2], strict=False)) + ("ghij"[s[-1]] if len(s) % 2 else "")
+    even = len(samples) // 2 * 2
+    return _DIGITS[samples[:even:2] * 4 + samples[1:even:2]].tobytes().decode() + ("ghij"[int(samples[-1])] if len(samples) % 2 else "")
 
 
 def near(a: np.ndarray, b: np.ndarray) -> float:
@@ -153,13 +165,35 @@ def _draws(length: int, way: int) -> np.ndarray:
 
 def band_keys(walks: tuple[np.ndarray, np.ndarray]) -> list[int]:
     """Keys of the bands of a text's walk forwards and backwards; none for texts of a few characters, whose only near texts are equal."""
-    out = []
-    for way, w in enumerate(walks):
-        for length in _lengths(len(w)):
-            at = _draws(length, way)
-            v = (w[at].astype(np.uint64) << (2 * np.arange(at.shape[1], dtype=np.uint64))).sum(1)
-            out.append(mix(v | (np.uint64((length << 6) + (way << 5)) + np.arange(len(at), dtype=np.uint64)) << np.uint64(32), 41))
-    return np.concatenate(out).view(np.int64).tolist() if out else []
+    values, kinds, _ = bands_of([walks])[0]
+    v, at = np.array(values, np.uint64), np.arange(len(values))
+    return mix(v | (np.array(kinds, np.uint64)[at // BANDS] * np.uint64(BANDS) + (at % BANDS).astype(np.uint64)) << np.uint64(32), 41).view(np.int64).tolist()
+
+
+def bands_of(walks: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[list[int], list[int], list[int]]]:
+    """For each text the values of its bands, and for each BANDS of them their kind (length and way) and a sketch of that walk: MARKS samples at
+    equal distances by weight, 32 in a long."""
+    out: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in walks]
+    for way in range(2):
+        same: dict[int, list[int]] = {}
+        for i, w in enumerate(walks):
+            for length in _lengths(len(w[way])):
+                same.setdefault(length, []).append(i)
+        for length, who in sorted(same.items()):
+            at, marks = _draws(length, way), _marks(length)
+            w = np.stack([walks[i][way][:length] for i in who]).astype(np.int64)
+            values = (w[:, at] << (2 * np.arange(at.shape[1]))).sum(2)
+            sketch = (w[:, marks].reshape(len(who), -1, 32) << (2 * np.arange(32))).sum(2)
+            for i, v, m in zip(who, values.tolist(), sketch.tolist(), strict=True):
+                out[i][0].extend(v)
+                out[i][1].append(2 * length + way)
+                out[i][2].extend(m)
+    return out
+
+
+def _marks(length: int) -> np.ndarray:
+    """The samples of a sketch of a walk's first ``length``."""
+    return np.searchsorted(_TOTAL[1 : length + 1], (np.arange(MARKS) + 0.5) / MARKS * _TOTAL[length], "right")
 
 
 def _letters(t: str) -> np.ndarray:
@@ -201,7 +235,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-MORE = ", t1 long, t2 long, bands array<long>"
+MORE = ", t1 long, t2 long, bands array<int>, kinds array<int>, marks array<long>"
 
 
 def _results(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
@@ -210,17 +244,19 @@ def _results(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
         return []
     edited = [_edited(t, f) for t, f in zip(texts, following, strict=True)]
     distinct = list(dict.fromkeys([*texts, *edited, *following]))
-    walks = dict(zip(distinct, walk(distinct), strict=True))
     own = list(dict.fromkeys(texts))
-    back = dict(zip(own, walk([t[::-1] for t in own]), strict=True))
-    more = {t: (*np.frombuffer(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64).tolist(), band_keys((walks[t], back[t]))) for t in own}
+    both = walk([*distinct, *(t[::-1] for t in own)])  # at once: a step costs much the same for few texts as for many
+    walks, back = dict(zip(distinct, both, strict=False)), dict(zip(own, both[len(distinct) :], strict=True))
+    bands = bands_of([(walks[t], back[t]) for t in own])
+    more = {t: (*np.frombuffer(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64).tolist(), *b) for t, b in zip(own, bands, strict=True)}
+    digits = {t: to_text(walks[t]) for t in dict.fromkeys([*texts, *edited])}
     return [
-        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), to_text(walks[t]), to_text(walks[e]), near(walks[t], walks[e]), near(walks[t], walks[f]), *more[t])
+        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digits[t], digits[e], near(walks[t], walks[e]), near(walks[t], walks[f]), *more[t])
         for i, t, e, f in zip(ids, texts, edited, following, strict=True)
     ]
 
 
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 _NAMES = [f.split()[0] for f in (RESULT + MORE).split(", ")]
 
 
@@ -346,20 +382,28 @@ def _verify(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "distance"])
 
 
+def _alike(a: str, b: str) -> Column:
+    """How many of their samples two sketches have in common."""
+    differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)" for x in (f"({a}[{i}] ^ {b}[{i}])" for i in range(MARKS // 32))]
+    return F.expr(f"{MARKS} - ({' + '.join(differ)})")
+
+
 def _near_links(prints: DataFrame, docs: DataFrame, most: float, block: int, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, distance) between distinct texts, each named by its least id, and the texts (t1, t2, rep, n)."""
     parts = shuffle_partitions(docs.sparkSession)
-    one = scratch.table(prints.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("chars"), F.count("*").alias("n")), "texts")
-    corpus = one.agg(F.sum(F.col("chars") * F.col("n"))).first()[0] or 0
-    keyed = prints.where("size(bands) > 0").select("t1", "t2", "doc_id", "n_chars", "bands")
-    keyed = scratch.table(keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.max("n_chars").alias("chars"), F.first("bands").alias("bands")).select("id", "chars", "bands"), "keyed")
+    found = prints.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("chars"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bands", "kinds", "marks")])
+    found = scratch.table(found, "found", "zstd")
     scratch.release()
-    keys = keyed.select("id", "chars", F.explode(F.array_distinct("bands")).alias("key"))
+    one = scratch.table(found.select("t1", "t2", "rep", "chars", "n"), "texts")
+    corpus = one.agg(F.sum(F.col("chars") * F.col("n"))).first()[0] or 0
+    words = MARKS // 32
+    keys = found.where("size(bands) > 0").select(F.col("rep").alias("id"), "chars", "kinds", "marks", F.posexplode("bands").alias("at", "v"))
+    keys = keys.select("id", "chars", F.expr(f"xxhash64(kinds[at div {BANDS}], at % {BANDS}, v)").alias("key"), F.expr(f"slice(marks, cast({words} * (at div {BANDS}) + 1 as int), {words})").alias("marks"))
     sizes = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo")).where("n > 1"), "sizes")
     scratch.release()
     # most keys have one text: they are gone before the join
     members = scratch.table(among(keys, sizes.select("key"), "key").join(sizes, "key"), "members")
-    scratch.drop(keyed, sizes)
+    scratch.drop(found, sizes)
     scratch.release()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -390,7 +434,11 @@ def _near_links(prints: DataFrame, docs: DataFrame, most: float, block: int, scr
         return placed.groupBy(F.col("a").alias("x"), "y").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     # each text with the least text with which it shares most bands, then with those of its buckets that it isn't joined with by that
-    star = scratch.table(members.where("id <> lo").groupBy(F.col("lo").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n")), "star")
+    least = members.where("id = lo").select("key", F.col("chars").alias("least_chars"), F.col("marks").alias("least_marks"))
+    star = members.where("id <> lo").join(least, "key").where(f"abs(chars - least_chars) <= floor(greatest(chars, least_chars) * {most!r}D)")
+    # of the pairs that share one band most do so by chance: they are told by their sketches, before any text travels
+    star = star.groupBy(F.col("lo").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max(_alike("marks", "least_marks")).alias("alike"))
+    star = scratch.table(star.where(f"k >= {SHARED} or alike >= {ALIKE}").drop("alike"), "star")
     best = star.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("a"), "n")).alias("z")).select((-F.col("z.a")).alias("a"), "b", "z.n")
     first = check(by_least(best), "best")
     comp = connected_components(first.select("a", "b"), scratch)
@@ -404,7 +452,7 @@ def _near_links(prints: DataFrame, docs: DataFrame, most: float, block: int, scr
     inner = scratch.table(inner, "inner")
     split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.expr(f"cast((count(*) + {block - 1}) div {block} as int)").alias("nb")).where("c0 <> c1").select("key", "nb")
     left = scratch.table(inner.join(split, "key"), "left")
-    own = left.groupBy(F.col("id").alias("own")).agg(F.collect_list("key").alias("keys"), F.max("chars").alias("own_chars"))
+    own = left.groupBy(F.col("id").alias("own")).agg(F.collect_list("key").alias("keys"), F.max("chars").alias("own_chars")).where(f"size(keys) >= {SHARED}")
     own = scratch.table(own, "own")
     groups = max(GROUPS, -(-(own.agg(F.sum("own_chars")).first()[0] or 0) // GROUP_CHARS))
     placed = left.join(own, F.col("id") == F.col("own")).withColumn("blk", F.expr("cast(pmod(xxhash64(id, key), nb) as int)"))

@@ -185,6 +185,32 @@ def test_near_texts_travel_in_turns(spark, monkeypatch):
     assert turns.count("near") > turns.count("needs") == 3
 
 
+def test_texts_that_cannot_be_near_do_not_travel(spark, monkeypatch):
+    """Texts that share bands, but whose lengths tell them apart, aren't compared; sketches count what walks have in common."""
+    r, star = random.Random(23), []
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    heads = [text(1000) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(heads)] + [(100 + i, t + text(150)) for i, t in enumerate(heads)] + [(200, heads[0][:500] + "!" + heads[0][501:])]
+    keys = [set(fp.band_keys((fp.walk([t])[0], fp.walk([t[::-1]])[0]))) for _, t in rows]
+    assert all(keys[i] & keys[6 + i] for i in range(6))
+
+    def table(self, d, name="t", *more, inner=fp.Scratch.table):
+        out = inner(self, d, name, *more)
+        star.extend((x.a, x.b) for x in out.collect()) if name == "star" else None
+        return out
+
+    monkeypatch.setattr(fp.Scratch, "table", table)
+    got = {x.doc_id: x.near_id for x in fp.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i == 200 else i for i, _ in rows} and (0, 200) in star and not {(i, 100 + i) for i in range(6)} & set(star)
+
+    walks = [(fp.walk([t])[0], fp.walk([t[::-1]])[0]) for t in (heads[0], rows[-1][1], heads[1])]
+    sketches = [fp.bands_of([w])[0][2][:4] for w in walks]
+    at = fp._marks(fp._lengths(len(walks[0][0]))[0])
+    want = [int((walks[0][0][at] == w[0][at]).sum()) for w in walks]
+    df = spark.createDataFrame([(sketches[0], s) for s in sketches], "u array<long>, v array<long>")
+    assert [x[0] for x in df.select(fp._alike("u", "v")).collect()] == want and want[0] == fp.MARKS and want[1] >= fp.ALIKE > want[2]
+
+
 def naive(sizes, sources, clusters, cap):
     bins, out = [], [None] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):

@@ -10,11 +10,14 @@ a few numbers a line finds equal lines and completes signatures. Texts of candid
 filter whose size follows their number. A bucket is compared in full, in two rounds: all its lines with its least one, then, block by block, all pairs that these links have not joined yet. For the second round each line gets a bitmap of its shingles'
 hashes, at least four bits a shingle: the bits in which two bitmaps differ are never more than the shingles in which the
 sets differ, so most pairs that can't link are told without their texts, and none that does link is lost. A task that
-compares two blocks emits only links that join parts not yet joined.
+compares two blocks emits only links that join parts not yet joined. Pairs of blocks are dealt out to turns, one after another: what
+travels in a turn is bounded by the candidates' texts, however often blocks meet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ MIN_CHARS = 24
 STRIDE = 4
 #: Buckets with more lines, or more characters, are cut into blocks of about so many, compared block by block.
 BLOCK, BLOCK_CHARS = 512, 4 << 20
+#: Bytes of lines that travel to their buckets in a turn: twice those of all candidates' texts, so many at least.
+TURN = 64 << 20
 
 
 def normal(line, fold: bool = False):
@@ -108,7 +113,6 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     large = shared.where("n > 2").select("key", "n", "lo")
     more = scratch.table(among(keys, large.select("key"), "key").join(large, "key"), "members")
-    bands_of = signed.where("h1 & 1 = 1").select(F.col("h1").alias("own"), F.array(*band).alias("keys"))
     star = more.where("h1 <> lo").select(F.col("lo").alias("a"), F.col("h1").alias("b"))
     pairs = scratch.table(two.unionByName(star).distinct(), "pairs")
     wanted = scratch.table(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "wanted")
@@ -117,39 +121,47 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the lines of candidates and of classes of several lines, with those that slip through the filter
     classes = signed.where("n_lines > 1").select("h1").union(wanted).distinct()
     picked = scratch.table(among(keyed.withColumn("h2", F.xxhash64("norm", F.lit(2))), classes, "h1"), "picked")
+    scratch.drop(signed, shared)
+    scratch.release()
     # one text for a hash: of lines that differ and share one, only those with the least second hash are its class
     one = picked.groupBy("h1").agg(F.min(F.struct("h2", "norm")).alias("x")).select("h1", "x.h2", "x.norm")
     texts = scratch.table(one.join(wanted, "h1", "left_semi"), "texts")
+    scratch.release()
 
     first = _links(pairs, texts, similarity_pct, scratch)
-    rest = _apart(more, connected_components(first, scratch), texts, bands_of, similarity_pct, block, scratch)
-    links = scratch.table(first.unionByName(rest), "links")
+    scratch.drop(pairs, wanted)
+    scratch.release()
+    rest = _apart(more, connected_components(first, scratch), texts, similarity_pct, block, scratch)
+    links = scratch.table(reduce(DataFrame.unionByName, rest, first), "links")
+    scratch.drop(more, texts, first, *rest)
 
     # the first line of each class, then of each component; then every other line of theirs goes
     comp = connected_components(links, scratch)
+    scratch.release()
     least = picked.groupBy("h1", "h2").agg(F.count("*").alias("n_lines"), F.min(F.struct("doc_id", "line_no")).alias("own"))
     kept = one.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
     least = least.join(kept, (least.h1 == kept.k1) & (least.h2 == kept.k2), "left_semi")
     least = least.join(comp, least.h1 == comp.node, "left").where("n_lines > 1 or component is not null").select("h1", "h2", "n_lines", "own", F.coalesce("component", "h1").alias("c"))
     first_of = least.groupBy("c").agg(F.min("own").alias("keep"))
     table = scratch.table(least.join(first_of, "c").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "n_lines", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")), "classes")
+    scratch.release()
     found = join_weighted(picked.select("doc_id", "line_no", "h1", "h2"), table, [("h1", "k1"), ("h2", "k2")], "n_lines")
     out = scratch.table(found.select("doc_id", "line_no", "keep_doc", "keep_line"), "found")
-    scratch.drop(signed, shared, more, pairs, wanted, picked, texts, first, rest, links, table)
+    scratch.drop(picked, links, table)
     scratch.release()
     return out
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """h1, n (size of the set, repeats counted), lev and sk: a bit for each shingle's hash among 64 * 2**lev >= 4 n. Texts are dealt by h1
-    once; no later step shuffles."""
+    """h1, n (size of the set, repeats counted), lev and sk: a bit for each shingle's hash among 64 * 2**lev >= 4 n, and p, how many bits are
+    set: the set has no fewer members. Texts are dealt by h1 once; no later step shuffles."""
     dealt = texts.repartition(shuffle_partitions(texts.sparkSession), "h1").withColumn("n", F.expr(f"cast(octet_length(encode(norm, 'UTF-16BE')) div 2 as int) - {SHINGLE - 1}"))
     sized = dealt.withColumn("lev", F.expr("cast(ceil(log2(greatest(n, 16) / 16.0D)) as int)"))
     bits = shingle_hashes(sized, ["h1", "n", "lev"])
     words = bits.groupBy("h1", "n", "lev", F.expr("cast(h & (shiftleft(1L, lev) - 1) as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")).alias("w"))
     lists = words.groupBy("h1", "n", "lev").agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("l"))
     full = F.expr("if(size(l) = shiftleft(1, lev), transform(l, x -> x.w), transform(sequence(0, shiftleft(1, lev) - 1), i -> coalesce(try_element_at(map_from_entries(l), i), 0L)))")
-    return lists.select("h1", "n", "lev", full.alias("sk"))
+    return lists.select("h1", "n", "lev", full.alias("sk"), F.expr("aggregate(l, 0, (s, x) -> s + bit_count(x.w))").alias("p"))
 
 
 def _may_link(x: str, y: str, pct: int) -> str:
@@ -161,6 +173,11 @@ def _may_link(x: str, y: str, pct: int) -> str:
     return f"({100 + pct} * ({bits}) <= {100 - pct} * ({x}.n + {y}.n))"
 
 
+def _like_size(x: str, y: str, pct: int) -> str:
+    """Whether two sets' sizes, p at least and n at most, let them reach the similarity: neither has less than pct % of the other's."""
+    return f"({pct} * {x}.p <= 100 * {y}.n and {pct} * {y}.p <= 100 * {x}.n)"
+
+
 def _reach(u: str, made: str, pct: int) -> str:
     """Whether a set u reaches the similarity with one that is made here: an array of one binds it to a name."""
     return f"transform(array({made}), v -> {100 + pct} * size(array_intersect({u}, v)) >= {pct} * (size({u}) + size(v)))[0]"
@@ -171,30 +188,51 @@ def _alike(a: str, b: str, pct: int) -> str:
     return f"transform(array({_set_sql(a)}), u -> {_reach('u', _set_sql(b), pct)})[0]"
 
 
-def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, bands_of: DataFrame, pct: int, block: int, scratch: Scratch) -> DataFrame:
-    """Links a, b between lines of a bucket in different components; those of its least line are known before.
-    members: key, h1 and the bucket's n and lo. bands_of: the keys of all bands of a class; two lines are compared in the
-    first bucket that they share."""
-    spark = members.sparkSession
+def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, pct: int, block: int, scratch: Scratch) -> list[DataFrame]:
+    """Links a, b between lines of a bucket in different components, a table for each turn; those of its least line are known before.
+    members: key, h1 and the bucket's n and lo. Two lines are compared in the first bucket of members that they share."""
     inner = members.where("h1 <> lo")
     inner = scratch.table(inner.join(comp, inner.h1 == comp.node, "left").select("key", "h1", F.coalesce("component", "h1").alias("c")), "inner")
     split = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     left = scratch.table(inner.join(split, "key"), "left")
-    own = scratch.table(texts.join(left.select("h1").distinct(), "h1", "left_semi"), "own")
-    sketches = scratch.table(_sketches(own).join(own.select("h1", "norm"), "h1").join(bands_of, F.col("h1") == F.col("own")).drop("own"), "sketches")
-    full = scratch.table(left.join(sketches, "h1").select("key", "h1", "c", "n", "lev", "sk", "norm", "keys"), "apart")
-    blocks = full.groupBy("key").agg(F.expr(f"cast(greatest(ceil(count(*) / {block}), ceil(sum(length(norm)) / {BLOCK_CHARS})) as int)").alias("nb"))
-    placed = full.join(blocks, "key").withColumn("blk", F.expr("cast(pmod(xxhash64(h1, key), nb) as int)"))
-    earlier = F.expr("slice(keys, 1, cast(array_position(keys, key) as int) - 1)").alias("before")
-    placed = placed.groupBy("key", "nb", "blk").agg(F.collect_list(F.struct("h1", "c", "n", "lev", "sk", "norm", earlier)).alias("m"))
-    placed = scratch.table(placed, "blocks")
-    parts = 4 * shuffle_partitions(spark)
-    left_side = placed.select("key", F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("y"), F.col("m").alias("l"))
-    right_side = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"), F.col("m").alias("r"))
-    both = left_side.repartition(parts, "key", "x", "y").join(right_side.repartition(parts, "key", "x", "y"), ["key", "x", "y"])
+    scratch.release()
+    lines = left.select("h1").distinct()
+    own = scratch.table(texts.join(lines, "h1", "left_semi"), "own")
+    keys_of = members.join(lines, "h1", "left_semi").groupBy("h1").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    sketches = _sketches(own).join(own.select("h1", "norm"), "h1").join(keys_of, "h1")
+    size = F.expr("octet_length(norm) + 8 * (size(sk) + size(keys)) + 64L").alias("size")
+    sketches = scratch.table(sketches.select("*", F.length("norm").alias("chars"), size), "sketches")
+    scratch.drop(inner, own)
+    scratch.release()
+
+    # a line travels once for each block that its block meets; the pairs of blocks of a bucket that is much of a turn go to several
+    turn = max(TURN, 2 * (texts.agg(F.sum(F.octet_length("norm"))).first()[0] or 0))
+    blocks = left.join(sketches.select("h1", "chars", "size"), "h1").groupBy("key").agg(F.expr(f"cast(greatest(ceil(count(*) / {block}), ceil(sum(chars) / {BLOCK_CHARS})) as int)").alias("nb"), F.sum("size").alias("size"))
+    blocks = scratch.table(blocks.select("key", "nb", (F.col("size") * F.col("nb")).alias("cost")), "costs")
+    turns = -(-int(blocks.agg(F.sum("cost")).first()[0] or 0) // turn)
+    placed = scratch.table(left.join(blocks, "key").select("key", "h1", "c", "nb", F.expr("cast(pmod(xxhash64(h1, key), nb) as int)").alias("blk"), F.expr(f"8 * cost > {turn}").alias("large")), "placed")
+    scratch.release()
+    out = []
+    for t in range(turns):
+        out.append(_turn(placed, sketches, turns, t, pct, scratch))
+        scratch.release()
+    scratch.drop(left, sketches, blocks, placed)
+    return out
+
+
+def _turn(placed: DataFrame, sketches: DataFrame, turns: int, t: int, pct: int, scratch: Scratch) -> DataFrame:
+    """The links of the pairs of blocks whose turn it is: each pair x <= y in a row, its lines l and r (x = y: l alone)."""
+    met = placed.select("key", "h1", "c", "large", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    met = met.select("key", "h1", "c", "large", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
+    met = met.where(F.expr(f"pmod(if(large, xxhash64(key, x, y), xxhash64(key)), {turns}) = {t}"))
+    line = F.struct("h1", "c", "n", "p", "lev", "sk", "norm", F.expr("filter(keys, k -> k < key)").alias("before"))
+    rows = met.join(sketches, "h1").select("key", "x", "y", (F.col("blk") == F.col("x")).alias("first"), line.alias("line"))
+    rows = rows.repartition(4 * shuffle_partitions(placed.sparkSession), "key", "x", "y")
+    both = rows.groupBy("key", "x", "y").agg(F.collect_list(F.expr("if(first, line, null)")).alias("l"), F.collect_list(F.expr("if(first, null, line)")).alias("r"))
+    both = both.select("x", "y", "l", F.expr("if(x < y, r, l)").alias("r"))
     label = "if(acc.lab[t.j] = z, acc.lab[s.i], z)"
     # buckets shared before are looked up first: that costs less than a comparison of bitmaps
-    may = f"p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and not arrays_overlap(p.before, t.q.before) and {_may_link('p', 't.q', pct)}"
+    may = f"p.c <> t.q.c and (x < y or p.h1 < t.q.h1) and {_like_size('p', 't.q', pct)} and not arrays_overlap(p.before, t.q.before) and {_may_link('p', 't.q', pct)}"
     placed_r = "transform(r, (q, j) -> named_struct('q', q, 'j', if(x < y, size(l), 0) + j))"
     some = f"transform(array({placed_r}), rs -> filter(transform(l, (p, i) -> named_struct('p', p, 'i', i, 'ts', filter(rs, t -> {may}))), s -> size(s.ts) > 0))[0]"
     lab = "concat(transform(l, p -> p.c), if(x < y, transform(r, q -> q.c), cast(array() as array<bigint>)))"
@@ -204,9 +242,7 @@ def _apart(members: DataFrame, comp: DataFrame, texts: DataFrame, bands_of: Data
             (acc, t) -> if(acc.lab[s.i] = acc.lab[t.j] or not {_reach('u', _set_sql('t.q.norm'), pct)}, acc,
                 named_struct('lab', transform(acc.lab, z -> {label}), 'links', array_append(acc.links, named_struct('a', least(s.p.h1, t.q.h1), 'b', greatest(s.p.h1, t.q.h1)))))))[0],
         acc -> acc.links)"""
-    out = scratch.table(both.select(F.explode_outer(F.expr(links)).alias("e")).where("e is not null").select("e.a", "e.b").distinct(), "rest")
-    scratch.drop(inner, left, own, sketches, full, placed)
-    return out
+    return scratch.table(both.select(F.explode_outer(F.expr(links)).alias("e")).where("e is not null").select("e.a", "e.b").distinct(), "rest")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, pct: int, scratch: Scratch) -> DataFrame:

@@ -206,3 +206,33 @@ def test_strided_hashes_hold_all_shingles(spark):
         for x in rows:
             some.setdefault(x.h1, set()).update(x[f"g{j}"] for j in range(ld.STRIDE))
         assert some == one and len(rows) == sum(1 + (max(1, len(t.encode("utf-16-be")) // 2 - 7) - 1) // ld.STRIDE if len(t.encode("utf-16-be")) >= 2 * least else 1 for t in lines)
+
+
+def test_blocks_meet_in_turns(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(6))
+    head = " ".join(word() for _ in range(14))
+    lines = [head + " " + " ".join(word() for _ in range(9)) for _ in range(90)]
+    lines += [t[:-1] + "q" for t in lines[20:40]]
+    rows = list(enumerate(lines))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, put = [], ld.Scratch.table
+    monkeypatch.setattr(ld.Scratch, "table", lambda self, df, name="t", compression="snappy": made.append((name, out := put(self, df, name, compression))) or out)
+    monkeypatch.setattr(ld, "TURN", 1)
+    got = {(x.doc_id, x.line_no): (x.keep_doc, x.keep_line) for x in ld.duplicate_lines(df, block=8).collect()}
+    assert got == brute(rows) and len(got) == 20
+    # many pairs of blocks: no table holds them all, and they come in several turns
+    assert [n for n, _ in made].count("rest") > 3 and not {"apart", "blocks"} & {n for n, _ in made}
+
+
+def test_lengths_tell_lines_apart(spark):
+    r = random.Random(9)
+    line = lambda n: "".join(r.choice("abcdefghijklm ") for _ in range(n))
+    a, b = line(120), line(480)
+    texts = [a, a[:-3] + "qqq", b, a + b, "abcdefgh" * 4, "abcdefgh" * 40, "abcdefgh" * 40 + "xyz"]
+    sk = ld._sketches(spark.createDataFrame(list(enumerate(texts)), "h1 long, norm string"))
+    f = lambda x: F.struct(*[F.col(c) for c in sk.columns]).alias(x)
+    got = {(x.a, x.b) for x in sk.select(f("x")).crossJoin(sk.select(f("y"))).where(ld._like_size("x", "y", 80) + " and " + ld._may_link("x", "y", 80)).selectExpr("x.h1 as a", "y.h1 as b").collect()}
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)}
+    assert want <= got and (4, 5) in got and not {(0, 2), (0, 3)} & got

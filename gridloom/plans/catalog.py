@@ -301,7 +301,9 @@ def _geo_keys(spark: SparkSession, d: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["src", "model", "citation", "axis", "scale_x", "tie_y"])
 
-    return _parts(spark, d).select("src", F.col("w").cast("long").alias("w"), "h").mapInArrow(parse, "src long, model long, citation string, axis double, scale_x double, tie_y double")
+    # few bytes, much work a row: a file of one row group would leave it all to one task
+    dealt = _parts(spark, d).select("src", F.col("w").cast("long").alias("w"), "h").repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "src")
+    return dealt.mapInArrow(parse, "src long, model long, citation string, axis double, scale_x double, tie_y double")
 
 
 query("geo_keys", f"select src, src % 3 + 1 as model, 'WGS 84' as citation, 6378137e0 + src as axis, w / 4e0 as scale_x, cast(w as double) as tie_y from ({_pages})", None)(_geo_keys)
